@@ -143,7 +143,7 @@ _FILES = """
  pf AS (SELECT page_id AS request_pos, '/' || regexp_replace(url, '^https?://', '') AS path, page_id % 3 AS dev, (length(url) % 40)::BIGINT AS ino, html FROM pages)"""
 
 _CLOCK = """
- ev AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, epoch_ms(ts) % 100000000 AS ts, event_type, value FROM events),
+ ev AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, epoch_us(ts) // 1000 % 100000000 AS ts, event_type, value FROM events),
  e1 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY media_id ORDER BY seq) AS gap FROM ev),
  e2 AS (SELECT *, last_value(CASE WHEN gap > 0 THEN gap END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e1),
  ck AS (SELECT media_id, seq, sum(CASE WHEN gap IS NULL THEN 0 WHEN gap >= 0 THEN gap ELSE greatest(coalesce(before, 1), 1) END) OVER (PARTITION BY media_id ORDER BY seq)::BIGINT AS elapsed, coalesce(gap < 0, false) AS restarted FROM e2)"""
@@ -194,8 +194,8 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT media_id, min(seq) AS seq, min_by(elapsed, seq) AS elapsed FROM ck GROUP BY 1
                   UNION ALL SELECT media_id, min(seq), min_by(elapsed, seq) FROM (SELECT c.media_id, c.seq, c.elapsed FROM r JOIN iv USING (media_id) JOIN ck c ON c.media_id = r.media_id AND c.seq > r.seq AND (every <= 0 OR c.elapsed - r.elapsed >= every)) GROUP BY media_id)
             SELECT media_id, seq, elapsed FROM r""",
-        "collapse_runs": w(_CLOCK, """SELECT media_id, seq, event_type AS state, value > 10 AS valid FROM ev
-            QUALIFY lag(event_type) OVER x IS NULL OR event_type <> lag(event_type) OVER x OR (value > 10) <> lag(value > 10) OVER x WINDOW x AS (PARTITION BY media_id ORDER BY seq)"""),
+        "collapse_runs": w(_CLOCK, """SELECT media_id, seq, event_type AS state, value > 10 AS valid FROM ev WINDOW x AS (PARTITION BY media_id ORDER BY seq)
+            QUALIFY lag(event_type) OVER x IS NULL OR event_type <> lag(event_type) OVER x OR (value > 10) <> lag(value > 10) OVER x"""),
         "sample_spans": w(SAMPLES, "SELECT media_id, idx, hash, t_start, t_end FROM samples"),
         "sample_times_extend": w(_CLOCK, """, x AS (SELECT media_id, seq, CASE WHEN media_id % 5 = 0 AND seq = 3 THEN NULL ELSE seq * 1000 - 1000 END AS t, CASE WHEN media_id % 3 = 0 THEN 0 ELSE 20000 END AS total FROM ev),
             y AS (SELECT *, count(*) OVER p AS n, count(t) OVER p AS known FROM x WINDOW p AS (PARTITION BY media_id)),
