@@ -25,6 +25,8 @@ from twinreel.llm.common import parts_for, settle
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source that one task numbers; a hot source is cut into as many hash ranges as it needs.
 ROWS_PER_RANGE = 2000
+#: Tables of sources up to this many rows are broadcast; larger ones are joined by shuffling narrow rows.
+BROADCAST_ROWS = 20_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, max_repeats: float) -> list[float]:
@@ -101,7 +103,7 @@ def mix(
         mass = sum((times[j + 1] - times[j]) * (ws[j] + ws[j + 1]) / 2 for j in range(len(times) - 1))
         rows.append((r["source"], i, sizes[i], float(targets[i]), int(targets[i] + 0.5), parts_for(r["n"], ROWS_PER_RANGE), times, ws, cum, mass))
     params = spark.createDataFrame(rows, "_source string, _s int, source_size long, target double, _demand long, _ranges long, _times array<double>, _ws array<double>, _cum array<double>, _mass double")
-    placed = narrow.join(params, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", F.shiftright(F.shiftrightunsigned("_h", 33) * F.col("_ranges"), 31))
+    placed = narrow.join(F.broadcast(params) if len(rows) <= BROADCAST_ROWS else params, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", F.shiftright(F.shiftrightunsigned("_h", 33) * F.col("_ranges"), 31))
     before = placed.groupBy("_s", "_range").agg(F.sum("size").alias("_sum")).select(
         F.col("_s").alias("_s2"), F.col("_range").alias("_range2"), (F.sum("_sum").over(Window.partitionBy("_s").orderBy("_range")) - F.col("_sum")).alias("_before")
     )
