@@ -156,7 +156,7 @@ def test_decontamination(spark, texts, monkeypatch, limit):
 
 def _sigs(t):
     common, out = set(spotsigs.COMMON), set()
-    ws = [w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w]
+    ws = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     marks = [("", 0), *((w, i + 1) for i, w in enumerate(ws) if w in common)]
     for a, i in marks:
         chain, seen = [], 0

@@ -110,9 +110,9 @@ def cut_spans(hit: DataFrame) -> DataFrame:
 
     Texts without hits are unchanged; cut texts are the remaining pieces, each as it was written.
     """
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    # pieces: each word with the break after it; text before the first word stays
-    lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
-    pieces = F.regexp_extract_all("text", F.lit(word.lower().replace("\\x3a-\\x60\\x7b-\\x7f", "\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F").replace("\\x2f", "\\x2F") + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0)
+    # pieces: each word, in either case, with the break after it; text before the first word stays
+    gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    lead = F.regexp_extract("text", f"^[{gap}]*", 0)
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{gap}]+[{gap}]*"), 0)
     kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i + 1 >= s["start"]) & (i + 1 <= s["end"])))
     return hit.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(lead, F.array_join(kept, ""))).alias("text"))

@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
             dw AS (SELECT doc_id, k.n, i, array_to_string(ws[i:i + k.n - 1], ' ') AS win
                    FROM d, k, unnest(range(1, len(ws) - k.n + 2)) AS t(i) WHERE len(ws) >= k.n),
             h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN w USING (n, win)),
-            p AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM h) GROUP BY doc_id),
+            p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
             s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
             SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
