@@ -173,7 +173,7 @@ def class_scores(params: Params, ids: np.ndarray, block: int = 4096) -> float:
     return float(score_positions(params, contexts(ids), ids, block).sum())
 
 
-def score_positions(params: Params, ctx: np.ndarray, ids: np.ndarray, block: int = 4096) -> np.ndarray:
+def score_positions(params: Params, ctx: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
     tables = [params.inp * params.mix[j] for j in range(CONTEXT)]
     out, out_t = np.empty(len(ids), np.float64), np.ascontiguousarray(params.out.T)
     for i in range(0, len(ids), block):
@@ -265,32 +265,31 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         classes, flat, groups = shared.value
         model, known = Params.of(flat), Classes(classes)
-        count = dict(zip(right.column("token").to_pylist(), right.column("c").to_pylist()))
-        unseen, out = total + 0.1 * (kinds + 1), []
-        value: dict[bytes, tuple[float, float, int]] = {}
-        for t, c in count.items():
-            base = float(np.log10((c + 0.1) / unseen))
-            if t in classes:
-                value[t] = (base, 0.0, 1)
-            else:
-                n, v = groups.get(ending(t) - TOP, (0, 0))
-                value[t] = (base, float(np.log10((c + 0.1) / (n + 0.1 * (v + 1)))), int(c > 0))
+        # the chunk's tokens are numbered, so each token is looked up once and the rest is array arithmetic
+        names = right.column("token").to_pylist()
+        c = right.column("c").to_numpy().astype(np.float64)
+        at_class = np.fromiter(map(known.__getitem__, names), np.int16, len(names))
+        n_of, v_of = np.zeros(PAD), np.zeros(PAD)
+        for g, (n, v) in groups.items():
+            n_of[TOP + g], v_of[TOP + g] = n, v
+        base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+        within = np.where(at_class < TOP, 0.0, np.log10((c + 0.1) / (n_of[at_class] + 0.1 * (v_of[at_class] + 1))))
+        number, seen, out = {x: i for i, x in enumerate(names)}, c > 0, []
         ids, ctx, spans, at = [], [], [], 0
 
         def flush() -> None:
             nonlocal ids, ctx, spans, at
             if spans:
-                p = np.concatenate(([0.0], np.cumsum(score_positions(model, np.concatenate(ctx), np.concatenate(ids)))))
-                out.extend((*row, inside + p[b] - p[a]) for a, b, inside, row in spans)
+                per_text = np.add.reduceat(score_positions(model, np.concatenate(ctx), np.concatenate(ids)), [s[0] for s in spans])
+                out.extend((*row, inside + p) for (_, inside, row), p in zip(spans, per_text.tolist()))
                 ids, ctx, spans, at = [], [], [], 0
 
         for doc, text, held in zip(left.column("doc_id").to_pylist(), left.column("text"), left.column("held_out").to_pylist()):
             ts = tokens(text.as_py())
-            vs = np.array([value[t] for t in ts])
-            sums = vs.sum(0)
-            ids.append(np.fromiter(map(known.__getitem__, ts), np.int16, len(ts)))
+            k = np.fromiter(map(number.__getitem__, ts), np.int32, len(ts))
+            ids.append(at_class[k])
             ctx.append(contexts(ids[-1]))
-            spans.append((at, at + len(ts), float(sums[1]), (doc, held, len(ts), int(sums[2]), total, float(sums[0]))))
+            spans.append((at, float(within[k].sum()), (doc, held, len(ts), int(seen[k].sum()), total, float(base[k].sum()))))
             at += len(ts)
             if at > 50_000:
                 flush()
