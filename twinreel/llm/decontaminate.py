@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinreel.llm.common import ascii_lower, let
+from twinreel.llm.common import ascii_lower, let, settle
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SET_LIMIT = 100_000
 #: A text's copies are dealt over this many keys where rows meet their text's result.
 SALTS = 32
+#: Hashes of contaminated texts (8 bytes each) that are broadcast at most.
+BROADCAST_TEXTS = 1_000_000
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def words(text: Column) -> Column:
@@ -51,15 +54,17 @@ def _salted(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_hit, items (sorted item_ids as strings), spans
-    (array of start, end: hit words, counted from 1, merged)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_th", F.xxhash64("text", F.reverse("text")))
+
+
+def contaminated_texts(keyed: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame | None:
+    """(_th2, _items, _spans): one row for each distinct text with a verified hit; None if the benchmark has no window."""
     grams = windows(benchmark, n).persist()
     lens = sorted(r[0] for r in grams.select("len").distinct().collect())
-    count = grams.select("hash").distinct().count()
-    base = docs.select("doc_id", "text", F.xxhash64("text", F.reverse("text")).alias("_th"))
     if not lens:
-        return base.select("doc_id", "text", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+        return None
+    count = grams.select("hash").distinct().count()
     small = count <= SET_LIMIT
     known = [r[0] for r in grams.select("hash").distinct().collect()] if small else []
 
@@ -70,39 +75,56 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
             at = F.filter(at, lambda x: x["h"].isin(known)) if small else at
             each.append(F.transform(at, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice(ws, x["at"], x["len"]), " ").alias("w"))))
         empty = F.array().cast("array<struct<h:bigint,at:int,len:int,w:string>>")
-        return F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(*[F.coalesce(e, empty) for e in each]).alias("found"))
+        return F.concat(*[F.coalesce(e, empty) for e in each])
 
-    scanned = base.withColumn("_scan", let(words(F.col("text")), found))
-    # one row for each distinct text with hits; equal texts (a large group of copies) are scanned alike and joined back
-    narrow = scanned.where(F.size("_scan.found") > 0).groupBy("_th").agg(F.first("_scan.found").alias("_found"))
-    one = narrow.select("_th", F.explode("_found").alias("_f"))
+    # equal texts (a large group of copies) are scanned alike and kept once
+    scanned = keyed.select("_th", let(words(F.col("text")), found).alias("_found")).where(F.size("_found") > 0)
+    one = scanned.groupBy("_th").agg(F.first("_found").alias("_found")).select("_th", F.explode("_found").alias("_f"))
     verified = one.join(F.broadcast(grams) if small else grams, (F.col("_f.h") == F.col("hash")) & (F.col("_f.w") == F.col("window"))).select("_th", "item_id", F.col("_f.at").alias("at"), F.col("_f.len").alias("len"))
     per_text = verified.groupBy("_th").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len") - 1).alias("end")))).alias("_raw"),
     )
-    span = "array<struct<start:int,end:int>>"
-    # merge sorted spans: a span that starts inside the last one extends it
+    # merge sorted spans: a span that starts inside the last one, or right after it, extends it
     merged = F.aggregate(
         "_raw",
-        F.array().cast(span),
+        F.array().cast(SPANS),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"] - 1),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    per_text = _salted(per_text.select(F.col("_th").alias("_th2"), "_items", merged.alias("_spans")))
-    plain = base.select("doc_id", "text", "_th", _salt(F.col("doc_id")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = plain.join(per_text, (F.col("_th") == F.col("_th2")) & (F.col("_salt") == F.col("_salt2")), "left")
-    n_hit = F.aggregate(F.coalesce("_spans", F.array().cast(span)), F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"] + 1))
-    return out.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.coalesce("_spans", F.array().cast(span)).alias("spans"))
+    return per_text.select(F.col("_th").alias("_th2"), "_items", merged.alias("_spans"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """One row per document: doc_id, text, n_words, n_hit, items (sorted item_ids as strings), spans
+    (array of start, end: hit words, counted from 1, merged)."""
+    base = _keyed(docs.select("doc_id", "text"))
+    n_words = F.size(words(F.col("text"))).cast("long").alias("n_words")
+    no_items, no_spans = F.array().cast("array<string>"), F.array().cast(SPANS)
+    per_text = contaminated_texts(base, benchmark, n)
+    if per_text is None:
+        return base.select("doc_id", "text", n_words, F.lit(0).cast("long").alias("n_hit"), no_items.alias("items"), no_spans.alias("spans"))
+    plain = base.select("doc_id", "text", "_th", _salt(F.col("doc_id")), n_words)
+    out = plain.join(_salted(per_text), (F.col("_th") == F.col("_th2")) & (F.col("_salt") == F.col("_salt2")), "left")
+    n_hit = F.aggregate(F.coalesce("_spans", no_spans), F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"] + 1))
+    return out.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), F.coalesce("_items", no_items).alias("items"), F.coalesce("_spans", no_spans).alias("spans"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The documents without any hit, their columns unchanged; equal texts share their fate."""
-    bad = hits(docs.select("doc_id", "text"), benchmark, n).where(F.col("n_hit") > 0).select(F.xxhash64("text", F.reverse("text")).alias("_bad")).distinct()
-    cols = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64("text", F.reverse("text"))).withColumn("_salt", _salt(F.col("doc_id")))
-    return keyed.join(_salted(bad), (F.col("_th") == F.col("_bad")) & (F.col("_salt") == F.col("_salt2")), "left_anti").select(*cols)
+    """The documents without any hit, their columns unchanged; equal texts share their fate.
+
+    The hashes of contaminated texts are broadcast while there are at most BROADCAST_TEXTS of them; more are
+    joined over salted keys.
+    """
+    found = contaminated_texts(_keyed(docs.select("doc_id", "text")), benchmark, n)
+    if found is None:
+        return docs
+    bad, cols = settle(found.select(F.col("_th2").alias("_bad")), "contaminated"), docs.columns
+    keyed, same = _keyed(docs), F.col("_th") == F.col("_bad")
+    if bad.count() <= BROADCAST_TEXTS:
+        return keyed.join(F.broadcast(bad), same, "left_anti").select(*cols)
+    return keyed.withColumn("_salt", _salt(F.col("doc_id"))).join(_salted(bad), same & (F.col("_salt") == F.col("_salt2")), "left_anti").select(*cols)
 
 
 def cut_spans(hit: DataFrame) -> DataFrame:
