@@ -26,10 +26,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     0.8 differs in 39 on average), and the shingle counts are within a factor of 0.8.
     """
     found = simhash.components(docs, words=5, radius=12, extra=3, most=45, ratio=0.8)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = settle(kept, "kept")
-    out = docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = kept.where("_n > 1").limit(1).count() > 0
+    # the documents to drop are fewer than those to keep: a small table spares the texts a shuffle
+    named = settle(found, "components")
+    gone = settle(named.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
+    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
