@@ -1,13 +1,13 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
-A text is lower-cased and cut into runs of letters.  Every common word is an anchor,
-and so is the start of the text (so that any text with a letter has a signature); a
+A text is lower-cased and cut into runs of letters and digits.  Every common word is an anchor,
+and so is the start of the text (so that any text with a content word has a signature); a
 signature is the anchor and the next two content words, further anchors skipped.
 Signatures are kept as sorted distinct 64-bit hashes.  Likeness is the Jaccard
 coefficient of two sets; `near_pairs` partitions the sets by length and compares
 only pairs whose lengths and rarest signatures allow the threshold.
 
-Defined results: null and letterless texts have no signatures; two such texts have
+Defined results: null texts and texts without content words have no signatures; two such texts have
 likeness 1 if both are empty of signatures, else 0.  Repeated doc_ids are ordered by
 text.  Other columns are ignored.  Native DataFrame code only.
 """
@@ -33,11 +33,13 @@ CHAIN = 2
 REACH = 4
 #: Rows that one lead window holds, about.
 ROWS_PER_RANGE = 2000
+#: The table of ranges is broadcast up to this many rows, else joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
 def signatures(text: Column) -> Column:
     """Sorted distinct signature hashes of a text (array of long)."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     common = sorted(set(COMMON))
     marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(w.isin(common), F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(w)), " ")
     # each segment: "anchor\t words up to the next anchor"; the first has the empty anchor
@@ -95,7 +97,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = [(r["d"], firsts[i - 1]["_range"], i == 0) for i, r in enumerate(firsts)]
     spark = docs.sparkSession
     table = spark.createDataFrame(before, "_first long, _to long, _wraps boolean")
-    ghosts = ranged.join(table, F.col("doc_id") == F.col("_first")).groupBy("_first", "_to", "_wraps").agg(F.min("text").alias("text"))
+    ghosts = ranged.join(F.broadcast(table) if len(before) <= BROADCAST_ROWS else table, F.col("doc_id") == F.col("_first")).groupBy("_first", "_to", "_wraps").agg(F.min("text").alias("text"))
     all_rows = ranged.select("doc_id", "text", "_range", F.lit(0).alias("_ghost")).unionByName(ghosts.select(F.col("_first").alias("doc_id"), "text", F.col("_to").alias("_range"), F.lit(1).alias("_ghost")))
     order = Window.partitionBy("_range").orderBy("_ghost", "doc_id", "text")
     return all_rows.select("doc_id", "text", "_ghost", "_range", F.lead("text").over(order).alias("next_text"))
