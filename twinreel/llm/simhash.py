@@ -32,7 +32,7 @@ from twinreel.llm.common import bounded_batches, drop_settled, settle
 SEED = 42
 #: The tree's top is grown on this many distinct fingerprints; all are dealt by it.
 SAMPLE = 20_000
-SHARD, MAX_SHARD, SHARDS = 2_000, 1_000_000, 256
+SHARD, MAX_SHARD, SHARDS = 2_000, 1_000_000, 32
 LEAF = 256
 SALTS = 16
 #: Extra words for longer fingerprints: each shingle hash is mixed with these fixed values (first digits of pi in hex).
