@@ -72,8 +72,9 @@ def test_archives_round_trip(spark, tmp_path):
     assert [r["page_id"] for r in c.lookup("http://b.org/x")] == [2, 4, 2**40]
     assert [r["page_id"] for r in c.lookup(None)] == [3]
     assert c.lookup("http://nowhere/") == []
-    for f in (tmp_path / "a").glob("part-*"):
-        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
+    written = [x for f in (tmp_path / "a").glob("part-*") if (x := f.read_bytes())]  # a partition without rows leaves an empty file
+    assert written
+    assert all(gzip.decompress(x).startswith(b"WARC/1.1\r\n") for x in written)
 
 
 def test_index_of_many_blocks(spark, tmp_path, monkeypatch):

@@ -33,6 +33,8 @@ from twinreel.llm.common import bounded_batches, new_path, settle
 BLOCK_LINES = 3000
 #: Copies of one payload are dealt over this many keys where they meet their response.
 SALTS = 32
+#: Payloads with copies that are broadcast at most (a digest and an id each), and captures whose places are (16 bytes each).
+BROADCAST_PAYLOADS, BROADCAST_CAPTURES = 500_000, 4_000_000
 EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, offset long, length long"
@@ -111,9 +113,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
     digest = F.sha1(html)
     long_ = F.length(html) >= least
     copies = pages.where(long_).groupBy(digest.alias("_digest2")).agg(F.max("page_id").alias("_response"), F.count("*").alias("_n")).where(F.col("_n") > 1)
-    copies = copies.select("_digest2", "_response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt2"))
+    copies = settle(copies.select("_digest2", "_response"), "copies")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"), digest.alias("digest"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("_salt"))
-    typed = base.join(copies, (F.col("digest") == F.col("_digest2")) & (F.col("_salt") == F.col("_salt2")), "left").select(
+    same = F.col("digest") == F.col("_digest2")
+    if copies.count() <= BROADCAST_PAYLOADS:  # pages stay where they are read
+        copies = F.broadcast(copies)
+    else:
+        copies = copies.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.col("_salt") == F.col("_salt2")
+    typed = base.join(copies, same, "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("_response") != F.coalesce("page_id", F.lit(-1)), F.col("_response")).alias("response")
     )
 
@@ -230,7 +238,9 @@ def read_records(spark: SparkSession, index: str, archives: str) -> DataFrame:
 
     bounded_batches(spark, 1)
     at = _files(spark, f"{index}/blocks").mapInArrow(lines, "file string, offset long, length long").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("at"))
-    return _files(spark, archives).join(at, F.col("path") == F.col("file")).select("content", "at").mapInArrow(read, RECORD)
+    at = settle(at, "places")
+    few = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] <= BROADCAST_CAPTURES
+    return _files(spark, archives).join(F.broadcast(at) if few else at, F.col("path") == F.col("file")).select("content", "at").mapInArrow(read, RECORD)
 
 
 def archive(pages: DataFrame, least: int = 1000) -> DataFrame:
