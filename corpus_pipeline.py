@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinreel.llm import decontaminate, mixing, sharding, simhash, toxicity
-from twinreel.llm.common import settle
+from twinreel.llm import decontaminate, jaccard, mixing, sharding, toxicity
+from twinreel.llm.common import drop_settled, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id.
 
-    Five-word shingles and a similarity of 0.8: the 64 bits agree in at least 0.8 of their places (12
-    may differ), which 192 further bits confirm (45 of all 256 may differ: a Jaccard coefficient of
-    0.8 differs in 39 on average), and the shingle counts are within a factor of 0.8.
+    Two documents are linked if their sets of five-word shingles have a Jaccard coefficient of 0.8 or
+    more, by the sets themselves; groups are what links connect.
     """
-    found = simhash.components(docs, words=5, radius=12, extra=3, most=45, ratio=0.8)
+    printed = settle(jaccard.prints(docs, 5, ["doc_id"]), "prints")
+    found = jaccard.components(printed, 0.8)
     # the documents to drop are fewer than those to keep: a small table spares the texts a shuffle
-    named = settle(found, "components")
-    gone = settle(named.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
+    named = settle(printed.select("doc_id", "id").join(found, "id", "left").select("doc_id", F.coalesce("root", "id").alias("group")), "components")
+    drop_settled(printed)
+    first = named.groupBy("group").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    gone = settle(named.join(first, "group").where("doc_id <> first").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
     out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     return out.dropDuplicates(["doc_id"]) if repeated else out
