@@ -19,21 +19,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id.
+    """One document of each group: the one with the smallest doc_id, nulls last, and of equal doc_ids the least digest.
 
     Two documents are linked if their sets of five-word shingles have a Jaccard coefficient of 0.8 or
-    more, by the sets themselves; groups are what links connect.
+    more, by the sets themselves; groups are what links connect.  Rows are told apart by doc_id and text
+    (a digest of both), never by doc_id alone: ids may be null or repeated.
     """
-    printed = settle(jaccard.prints(docs, 5, ["doc_id"]), "prints")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
+    printed = settle(jaccard.prints(docs.withColumn("_key", key), 5, ["doc_id", "_key"]), "prints")
     found = jaccard.components(printed, 0.8)
     # the documents to drop are fewer than those to keep: a small table spares the texts a shuffle
-    named = settle(printed.select("doc_id", "id").join(found, "id", "left").select("doc_id", F.coalesce("root", "id").alias("group")), "components")
+    named = settle(printed.select("doc_id", "_key", "id").join(found, "id", "left").select("doc_id", "_key", F.coalesce("root", "id").alias("group")), "components")
     drop_settled(printed)
-    first = named.groupBy("group").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    gone = settle(named.join(first, "group").where("doc_id <> first").select(F.col("doc_id").alias("_id")).distinct(), "duplicates")
-    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("first"), F.count("*").alias("c")).where("c > 1")
+    grouped = settle(named.join(first, "group"), "grouped")
+    gone = settle(grouped.where("_key <> first").select(F.col("_key").alias("_gone")).distinct(), "duplicates")
+    out = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    # rows with equal doc_id and text have one key: such a key stays once
+    repeated = grouped.where("_key = first").groupBy("group").count().where("count > 1").limit(1).count() > 0
+    return (out.dropDuplicates(["_key"]) if repeated else out).drop("_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,16 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, block):
     got = sorted(r["doc_id"] for r in p.drop_near_duplicates(spark, df, "").select("doc_id").collect())
     assert got == sorted(set(_groups(texts)))
     assert p.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_rows_with_null_or_repeated_ids_go_only_as_copies(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    a, b, c, d, e, f = (" ".join("".join(rng.choices("bcdfglmnprst", k=6)) for _ in range(40)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c + " more"), (1, c), (2, d), (2, e), (2, c), (3, e), (4, f), (4, f), (5, f), (None, f), (None, None), (6, ""), (7, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = p.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    want = [(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (6, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
