@@ -184,6 +184,23 @@ def test_nce_learns_the_context():
     assert sum(lm_score.class_scores(after, x) for x in ids) > sum(lm_score.class_scores(before, x) for x in ids) + 0.15 * sum(map(len, ids))
 
 
+def test_every_position_is_trained_on(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.Trainer, "step", lambda self, ctx, y: (seen.extend(zip(map(tuple, ctx.tolist()), y.tolist())), setattr(self, "steps", self.steps + 1)))
+    monkeypatch.setattr(lm_score, "LEAST_STEPS", 0)
+    texts = [b"a b c d e f g", None, b"", b"b a " * 9000, b"c"]
+    classes = {w: i for i, w in enumerate([b"a", b"b", b"c", lm_score.END])}
+    freq = np.ones(lm_score.PAD)
+    _, used = lm_score.train_on(iter(texts), lm_score.start(freq), classes, freq, 0)
+    known, want = lm_score.Classes(classes), []
+    for t in texts:
+        ids = [known[w] for w in lm_score.tokens(t)]
+        before = [lm_score.PAD] * lm_score.CONTEXT + ids
+        want += [(tuple(before[i : i + lm_score.CONTEXT]), k) for i, k in enumerate(ids)]
+    assert used == len(want)
+    assert sorted(seen) == sorted(want)
+
+
 # --- SimHash ------------------------------------------------------------------------------------
 
 

@@ -11,8 +11,8 @@ the whole vocabulary, with one unseen token for each ending class, sums to one.
 Counts cover every training text, exactly, and are never held in one place: texts are
 dealt into chunks of CHUNK bytes, each chunk's distinct tokens are summed by token
 and the counts go back to the chunks that asked.  Training is data-parallel: each
-task makes NCE steps over every training text it holds (every STRIDE-th position)
-and the parameters are averaged, in two levels.
+task makes NCE steps over every position of every training text it holds and the
+parameters are averaged, in two levels.
 
 Defined results: null and empty texts are one end token; repeated rows score alike;
 an empty training set scores every token as unseen; other columns are ignored.
@@ -34,7 +34,7 @@ from twinreel.llm.common import bounded_batches, settle
 
 TOP, ENDINGS, CONTEXT, DIM = 192, 64, 6, 16
 CHUNK, LEAST_CHUNKS = 12 << 20, 48
-NOISE, BATCH, RATE, LEAST_STEPS, STRIDE = 48, 512, 0.3, 300, 4
+NOISE, BATCH, RATE, LEAST_STEPS = 48, 512, 0.3, 300
 #: Averages made side by side before the driver sees them.
 AVERAGES = 16
 END = b""
@@ -138,7 +138,7 @@ def train_on(texts: Iterator[bytes | None], params: Params, classes: dict[bytes,
     """Parameters after steps over all the texts, at least LEAST_STEPS of them (small inputs go round again); positions used."""
     trainer, known = Trainer(params, freq, seed), Classes(classes)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
-    ctx, y, used, offset = [], [], 0, 0
+    ctx, y, used = [], [], 0
 
     def flush(least: int) -> None:
         nonlocal ctx, y
@@ -155,10 +155,9 @@ def train_on(texts: Iterator[bytes | None], params: Params, classes: dict[bytes,
 
     for text in texts:
         ids = np.fromiter(map(known.__getitem__, tokens(text)), np.int16)
-        ctx.append(contexts(ids)[offset::STRIDE])
-        y.append(ids[offset::STRIDE])
-        used += len(y[-1])
-        offset = (offset + 1) % STRIDE
+        ctx.append(contexts(ids))
+        y.append(ids)
+        used += len(ids)
         flush(BATCH * 40)
     flush(0)
     while kept and trainer.steps < LEAST_STEPS:
