@@ -53,7 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spotsigs.compare_with_next(_table(spark, sf_dir, "documents"))
+    out = spotsigs.compare_with_next(_table(spark, sf_dir, "documents"), spotsigs.whole_signatures)
     return out.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next",

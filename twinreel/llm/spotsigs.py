@@ -8,12 +8,15 @@ coefficient of two sets; `near_pairs` partitions the sets by length and compares
 only pairs whose lengths and rarest signatures allow the threshold.
 
 Defined results: null texts and texts without content words have no signatures; two such texts have
-likeness 1 if both are empty of signatures, else 0.  Repeated doc_ids are ordered by
+likeness 1 if both are empty of signatures, else 0.  `signatures` sees anchored chains only, at most REACH
+segments long; `whole_signatures`, which the query uses, sees the whole text.  Repeated doc_ids are ordered by
 text.  Other columns are ignored.  Native DataFrame code only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +34,8 @@ al como con del el ella ellos era esta este fue la las lo los más mi muy no nos
 CHAIN = 2
 #: Segments joined to find a chain: enough for CHAIN content words unless that many anchors stand in a row.
 REACH = 4
+#: In whole_signatures: content words that one anchor covers; further ones are starts of their own.
+GAP = CHAIN
 #: Rows that one lead window holds, about.
 ROWS_PER_RANGE = 2000
 #: The table of ranges is broadcast up to this many rows, else joined by shuffling.
@@ -54,6 +59,29 @@ def signatures(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x["a"], x["c"]))))
 
 
+def whole_signatures(text: Column) -> Column:
+    """Sorted distinct signature hashes over the whole length of a text (array of long).
+
+    Every anchor takes the next CHAIN content words however many anchors stand between.  The first content word and
+    every one that no anchor's chain covers start a chain with the empty anchor.  So each content word is in a signature.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    common = sorted(set(COMMON))
+    # an item for each content word, with the anchors just before it
+    marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(w.isin(common), F.concat(w, F.lit("\t"))).otherwise(F.concat(w, F.lit("\n")))), "")
+    items = F.filter(F.split(marked, "\n"), lambda x: (x != "") & ~x.endswith("\t"))
+
+    def chains(its: Column) -> Column:
+        words = F.transform(its, lambda x: F.substring_index(x, "\t", -1))
+        anchors = F.transform(its, lambda x: F.slice(F.split(x, "\t"), 1, F.size(F.split(x, "\t")) - 1))
+        return let(words, lambda w: let(anchors, lambda a: F.flatten(F.transform(w, lambda x, i: let(
+            F.array_join(F.slice(w, i + 1, CHAIN), " "),
+            lambda c: F.transform(F.when(F.exists(F.slice(a, F.greatest(i + 2 - GAP, F.lit(1)), F.least(i + 1, F.lit(GAP))), lambda y: F.size(y) > 0) & (i > 0), F.element_at(a, i + 1)).otherwise(F.array_append(F.element_at(a, i + 1), F.lit(""))), lambda y: F.xxhash64(y, c)),
+        )))))
+
+    return F.array_sort(F.array_distinct(let(items, chains)))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard coefficient of two signature sets."""
     both = F.size(F.array_intersect(a, b))
@@ -109,14 +137,14 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_text, sigs, edited_sigs, near_edited, near_next for every document."""
+def compare_with_next(docs: DataFrame, signed: Callable[[Column], Column] = signatures) -> DataFrame:
+    """doc_id, n_chars, edited_text, sigs, edited_sigs, near_edited, near_next for every document; `signed` makes the signatures."""
     led = with_next(docs)
     order = Window.partitionBy("_range").orderBy("_ghost", "doc_id", "text")
     if "_range" not in led.columns:
         led = led.withColumn("_range", F.lit(0)).withColumn("_ghost", F.lit(0))
-    one = led.withColumn("sigs", signatures(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order)).where(F.col("_ghost") == 0)
-    two = one.withColumn("edited_text", edited(F.col("text"), F.coalesce("next_text", "text"))).withColumn("edited_sigs", signatures(F.col("edited_text")))
+    one = led.withColumn("sigs", signed(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order)).where(F.col("_ghost") == 0)
+    two = one.withColumn("edited_text", edited(F.col("text"), F.coalesce("next_text", "text"))).withColumn("edited_sigs", signed(F.col("edited_text")))
     return two.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_text", "sigs", "edited_sigs", likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.coalesce("next_sigs", "sigs")).alias("near_next"))
 
 
