@@ -215,6 +215,18 @@ def test_spotsigs_ranges_and_pairs(spark, monkeypatch):
     assert spotsigs.compare_with_next(one.limit(0)).count() == 0
 
 
+def test_splitters_are_exact_beside_a_long_document(spark):
+    rng = random.Random(9)
+    rows = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)})
+    sizes = [500_000 if i == 100 else rng.randrange(1, 1000) for i in range(3000)]
+    cuts = sharding.splitters(spark.createDataFrame(list(zip(rows, sizes)), "_key long, _size long"), 4)
+    total = sum(sizes)
+    for k, cut in enumerate(cuts, 1):
+        goal = total * k // 4
+        nearest = min(abs(sum(sizes[:i]) - goal) for i in range(3001))
+        assert abs(sum(n for x, n in zip(rows, sizes) if x < cut) - goal) <= max(nearest, 0.002 * total / 4)
+
+
 def _whole(t):
     """Each anchor with the next content words; content words that no anchor covers are starts."""
     common, out = set(spotsigs.COMMON), set()

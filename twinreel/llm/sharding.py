@@ -48,14 +48,14 @@ def _interval(key: Column, probes: list[int]) -> Column:
 def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes_each: int = 32) -> list[int]:
     """Keys that cut the rows of keys(_key, _size) into `shards` ranges, each within `tolerance` of a shard's bytes
     of its place, or as near as rows with equal keys allow."""
-    total, largest = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     goals = [total * k // shards for k in range(1, shards)]
     # for each splitter: an interval [lo, hi) with exact bytes below lo and below hi
     state = [(LOW, 0, HIGH, total)] * len(goals)
     while True:
         probes = set()
         for goal, (lo, below_lo, hi, below_hi) in zip(goals, state):
-            if min(goal - below_lo, below_hi - goal) > tolerance * total / shards and below_hi - below_lo > largest and hi - lo > 1:
+            if min(goal - below_lo, below_hi - goal) > tolerance * total / shards and hi - lo > 1:
                 step = max(1, (hi - lo) // probes_each)
                 probes.update(range(lo + step, hi, step))
         if not probes:
