@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -164,43 +165,93 @@ def test_lm_counts_and_gain(spark):
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    p = lm_score.start(np.arange(lm_score.PAD) + 1.0)
-    ctx = np.random.default_rng(0).integers(0, lm_score.PAD + 1, (3, lm_score.CONTEXT))
-    total = sum(10 ** lm_score.score_positions(p, ctx, np.full(3, k)) for k in range(lm_score.PAD))
-    assert total == pytest.approx(np.ones(3), abs=1e-4)
+def _vocabulary(texts, own=None):
+    count = Counter(w for t in texts for w in lm_score.tokens(t))
+    top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:own]
+    n, ends = lm_score.endings(len(top)), {}
+    for w, c in count.items():
+        if w not in dict(top):
+            e = zlib.crc32(w[-3:]) % n
+            ends[e] = (ends.get(e, (0, 0))[0] + c, ends.get(e, (0, 0))[1] + 1)
+    return lm_score.Vocabulary(top, ends), count
+
+
+def _scored(model, texts):
+    """log10 probabilities of class and member, text by text."""
+    out = []
+    for t in texts:
+        row, cls, member = model.v.look(lm_score.tokens(t))
+        lead = np.full(lm_score.CONTEXT, -1)
+        out.append(lm_score.log10_scores(model, np.concatenate([np.full(lm_score.CONTEXT, model.v.pad), row]), np.concatenate([lead, cls]), np.concatenate([lead, member]), 7, 50)[lm_score.CONTEXT :])
+    return out
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices([f"w{i}{'abc'[i % 3]}" for i in range(300)], k=30)).encode() for _ in range(80)]
+    v, count = _vocabulary(texts, 150)
+    model = lm_score.Model.start(v)
+    lm_score.train_on(iter(texts), model, 3)
+    for before in (b"", b"w1b w2c", b"w3a unheard w4b w5c w6a"):
+        start, total = lm_score.tokens(before)[:-1], 0.0
+        row = v.look(start)[0]
+        x = np.concatenate([np.full(lm_score.CONTEXT, v.pad), row, [0]]).astype(np.int64)
+        pairs = [(c, -1) for c in range(v.first)] + [(c, m) for c in range(v.first, v.classes) for m in range(v.starts[c - v.first], v.starts[c - v.first + 1])]
+        for c, m in pairs:
+            y, z = np.full(len(x), -1), np.full(len(x), -1)
+            y[-1], z[-1] = c, m
+            total += 10 ** lm_score.log10_scores(model, x, y, z)[-1]
+        assert total == pytest.approx(1, abs=1e-4)
+    # a class's rest, and one unseen token, share its rest member
+    for e, (n, kinds) in enumerate(v.rest):
+        inside = [c for w, c in count.items() if w not in v.number and v.class_of(w) == v.first + e]
+        assert (n, kinds) == (sum(inside), len(inside))
 
 
 def test_nce_learns_the_context():
     rng = random.Random(1)
     texts = [" ".join(rng.choices(vocab, k=40)).encode() for _ in range(150) for vocab in (["a", "b", "c"], ["x", "y", "z"])]
-    classes = {w: i for i, w in enumerate([b"a", b"b", b"c", b"x", b"y", b"z", lm_score.END])}
-    known = lm_score.Classes(classes)
-    freq = np.bincount([known[w] for t in texts for w in lm_score.tokens(t)], minlength=lm_score.PAD).astype(float)
-    before = lm_score.start(freq)
-    after, used = lm_score.train_on(iter(texts), lm_score.Params.of(before.flat()), classes, freq, 0)
-    ids = [np.array([known[w] for w in lm_score.tokens(t)], np.int16) for t in texts]
-    assert used > 0
-    assert sum(lm_score.class_scores(after, x) for x in ids) > sum(lm_score.class_scores(before, x) for x in ids) + 0.15 * sum(map(len, ids))
+    v, _ = _vocabulary(texts)
+    model = lm_score.Model.start(v)
+    before = sum(x.sum() for x in _scored(model, texts))
+    trainer, used = lm_score.train_on(iter(texts), model, 0)
+    assert used == sum(len(lm_score.tokens(t)) for t in texts)
+    assert sum(x.sum() for x in _scored(model, texts)) > before + 0.15 * used
+    assert trainer.touched.max() > 0 and not model.inp[v.pad].any()
 
 
 def test_every_position_is_trained_on(monkeypatch):
     seen = []
-    monkeypatch.setattr(lm_score.Trainer, "step", lambda self, ctx, y: (seen.extend(zip(map(tuple, ctx.tolist()), y.tolist())), setattr(self, "steps", self.steps + 1)))
-    monkeypatch.setattr(lm_score, "LEAST_STEPS", 0)
+
+    def step(self, x, y, member):
+        for run, cls in zip(x.tolist(), y.tolist()):
+            seen.extend((tuple(run[i : i + lm_score.CONTEXT]), c) for i, c in enumerate(cls) if c >= 0)
+
+    monkeypatch.setattr(lm_score.Trainer, "step", step)
     texts = [b"a b c d e f g", None, b"", b"b a " * 9000, b"c"]
-    classes = {w: i for i, w in enumerate([b"a", b"b", b"c", lm_score.END])}
-    freq = np.ones(lm_score.PAD)
-    _, used = lm_score.train_on(iter(texts), lm_score.start(freq), classes, freq, 0)
-    known, want = lm_score.Classes(classes), []
+    v, _ = _vocabulary(texts)
+    _, used = lm_score.train_on(iter(texts), lm_score.Model.start(v), 0)
+    want = []
     for t in texts:
-        ids = [known[w] for w in lm_score.tokens(t)]
-        before = [lm_score.PAD] * lm_score.CONTEXT + ids
-        want += [(tuple(before[i : i + lm_score.CONTEXT]), k) for i, k in enumerate(ids)]
+        row, cls, _ = v.look(lm_score.tokens(t))
+        before = [v.pad] * lm_score.CONTEXT + row.tolist()
+        want += [(tuple(before[i : i + lm_score.CONTEXT]), c) for i, c in enumerate(cls.tolist())]
     assert used == len(want)
     assert sorted(seen) == sorted(want)
 
 
+def test_changes_are_averaged_by_touch(spark):
+    """One task's model is the trainer's own; rows that only one task touched keep that task's whole change."""
+    texts = ["a b c d " * 30, "e f g h " * 30]
+    df = spark.createDataFrame([(1, t.encode(), False, 0) for t in texts[:1]], "doc_id long, text binary, held_out boolean, chunk int").coalesce(1)
+    v, _ = _vocabulary([t.encode() for t in texts])
+    own = list(zip(v.number, v.count.astype(int).tolist()))
+    model = lm_score.Model.start(v)
+    lm_score.train_on(iter([texts[0].encode()]), model, 0)
+    got = lm_score.train(df, own, {})
+    assert np.abs(got - model.w).max() < 0.01
+
+
 # --- SimHash ------------------------------------------------------------------------------------
 
 

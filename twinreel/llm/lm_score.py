@@ -1,18 +1,23 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
-Tokens are ASCII-lower-cased words and one end for each text.  A token's class is
-itself for the TOP most frequent tokens and a hash of its ending for all others.
-The model predicts the class from the classes of the CONTEXT tokens before it: the
-predicted vector is a sum of element-wise weighted context vectors, and the class
-log-probability is a softmax over its products with the output vectors.  Within an
-ending class a token has its smoothed relative frequency.  So the distribution over
-the whole vocabulary, with one unseen token for each ending class, sums to one.
-
-Counts cover every training text, exactly, and are never held in one place: texts are
-dealt into chunks of CHUNK bytes, each chunk's distinct tokens are summed by token
-and the counts go back to the chunks that asked.  Training is data-parallel: each
-task makes NCE steps over every position of every training text it holds and the
-parameters are averaged, in two levels.
+Tokens are ASCII-lower-cased words and one end for each text.  The most frequent tokens (`own_words`
+of them, so the model grows with the vocabulary that was counted) have vectors of their own; all others
+share a vector by a hash where they are context, and a class member by their last three bytes where
+they are predicted.
+
+A predicted vector is the sum of the element-wise weighted vectors of the CONTEXT tokens before a
+position.  Its products with output vectors and biases are logits of two softmaxes: over classes (the
+FIRST tokens are classes, the other tokens are dealt by their last three bytes), and over the
+members of the class (its own words, and one member for the rest).  Within the rest of a class
+a token has its smoothed relative frequency.  So the distribution over the whole vocabulary, with one
+unseen token for each class, sums to one, and no product is taken with more vectors than there are
+classes and members of one class.
+
+Counts cover every training text, exactly, and are never held in one place: texts are dealt into
+chunks of CHUNK bytes, each chunk's distinct tokens are summed by token and joined back.
+Training is data-parallel: each task makes NCE steps over every position of every training
+text it holds, and a parameter row's changes are averaged over the tasks that touched it, weighted by how
+often, in blocks of rows.
 
 Defined results: null and empty texts are one end token; repeated rows score alike;
 an empty training set scores every token as unseen; other columns are ignored.
@@ -23,7 +28,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +36,18 @@ from pyspark.sql import functions as F
 
 from twinreel.llm.common import bounded_batches, settle
 
-TOP, ENDINGS, CONTEXT, DIM = 192, 64, 6, 16
+#: DIM and the bias make a row of 32 numbers.
+CONTEXT, DIM, FIRST = 4, 31, 64
+#: Words with vectors of their own: PER_ROOT x the square root of the number of training tokens' kinds, MOST at most (the size of the model).
+PER_ROOT, MOST = 64, 1 << 16
 CHUNK, LEAST_CHUNKS = 12 << 20, 48
-NOISE, BATCH, RATE, LEAST_STEPS = 48, 512, 0.3, 300
-#: Averages made side by side before the driver sees them.
-AVERAGES = 16
+#: A step takes SEGMENTS runs of SEGMENT positions each, picked at random from a buffer of BUFFER runs.
+SEGMENT, SEGMENTS, BUFFER = 32, 24, 2048
+#: Noise classes for a step, and noise members for a position.
+NOISE, NOISE_MEMBERS, RATE = 64, 2, 0.1
+#: Parameter rows of a block, and partitions that average blocks.
+BLOCK, AVERAGES = 2048, 32
 END = b""
-PAD = TOP + ENDINGS
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -49,155 +58,251 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def ending(token: bytes) -> int:
-    return TOP + zlib.crc32(token[-3:]) % ENDINGS
-
-
-class Classes(dict):
-    """Token -> class; endings are looked up once for each token."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
-            for k in [k for k, v in self.items() if v >= TOP]:
-                del self[k]
-        c = self[token] = ending(token)
-        return c
-
-
-@dataclass
-class Params:
-    inp: np.ndarray  # (classes + 1, DIM), the last row for positions before the text
-    mix: np.ndarray  # (CONTEXT, DIM)
-    out: np.ndarray  # (classes, DIM)
-    bias: np.ndarray  # (classes,)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.inp.ravel(), self.mix.ravel(), self.out.ravel(), self.bias]).astype(np.float32)
-
-    @staticmethod
-    def of(flat: np.ndarray) -> Params:
-        n, at, parts = TOP + ENDINGS, 0, []
-        for shape in ((n + 1, DIM), (CONTEXT, DIM), (n, DIM), (n,)):
-            size = int(np.prod(shape))
-            parts.append(flat[at : at + size].reshape(shape).astype(np.float32).copy())
-            at += size
-        return Params(*parts)
-
-
-def start(freq: np.ndarray) -> Params:
-    """Small random vectors; the bias is the log of the class frequency, so the model starts as the unigram."""
-    rng, n = np.random.default_rng(5), TOP + ENDINGS
-    p = (freq + 0.1) / (freq + 0.1).sum()
-    return Params(rng.normal(0, 0.3, (n + 1, DIM)).astype(np.float32), np.full((CONTEXT, DIM), 1.0 / CONTEXT, np.float32), rng.normal(0, 0.1, (n, DIM)).astype(np.float32), np.log(p).astype(np.float32))
+def own_words(kinds: int) -> int:
+    return min(MOST, int(PER_ROOT * kinds**0.5))
+
+
+def endings(own: int) -> int:
+    """Number of classes by ending: a power of two near the square root of the own words."""
+    return 1 << max(4, round(np.log2(1.4 * max(own, 1) ** 0.5)))
+
+
+class Vocabulary:
+    """Where a token's vectors are.  `own`: (token, count) by falling count; `ends`: class -> (tokens, kinds) of its rest."""
+
+    def __init__(self, own: list[tuple[bytes, int]], ends: dict[int, tuple[int, int]]):
+        self.own = len(own)
+        self.first, self.ends = min(FIRST, self.own), endings(self.own)
+        self.hashed = max(1024, self.own)
+        self.pad = self.own + self.hashed
+        self.number = {t: i for i, (t, _) in enumerate(own)}
+        self.count = np.array([c for _, c in own], np.float64)
+        self.classes = self.first + self.ends
+        self.own_class = np.array([i if i < self.first else self.class_of(t) for i, (t, _) in enumerate(own)], np.int32)
+        # members in order of class, each class's rest last
+        inner = self.own - self.first
+        at_class = np.concatenate([self.own_class[self.first :], np.arange(self.first, self.classes)]).astype(np.int64)
+        order = np.lexsort((np.arange(len(at_class)) >= inner, at_class))
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        self.own_member = np.concatenate([np.full(self.first, -1, np.int32), at[:inner]])
+        self.rest_member = at[inner:]
+        self.starts = np.searchsorted(at_class[order], np.arange(self.first, self.classes + 1))
+        self.rest = np.array([ends.get(i, (0, 0)) for i in range(self.ends)], np.float64).reshape(-1, 2)
+        freq = np.empty(len(order))
+        freq[at[:inner]] = self.count[self.first :]
+        freq[self.rest_member] = self.rest[:, 0] + 0.1
+        self.members = len(freq)
+        per_class = np.add.reduceat(freq, self.starts[:-1])
+        self.q_member = freq / np.repeat(per_class, np.diff(self.starts))
+        self.q_class = np.concatenate([self.count[: self.first], per_class])
+        self.q_class /= self.q_class.sum()
+        self.rows = self.pad + 1 + self.classes + self.members + CONTEXT
+
+    def class_of(self, token: bytes) -> int:
+        return self.first + zlib.crc32(token[-3:]) % self.ends
+
+    def look(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row as context, class, member or -1) of each token."""
+        own = np.fromiter((self.number.get(t, -1) for t in names), np.int64, len(names))
+        row, cls, member = own.copy(), np.empty(len(names), np.int32), np.empty(len(names), np.int32)
+        known = own >= 0
+        cls[known], member[known] = self.own_class[own[known]], self.own_member[own[known]]
+        other = np.flatnonzero(~known).tolist()
+        row[other] = [self.own + zlib.crc32(names[i]) % self.hashed for i in other]
+        cls[other] = [self.class_of(names[i]) for i in other]
+        member[other] = self.rest_member[cls[other] - self.first]
+        return row.astype(np.int32), cls, member
+
+
+class Model:
+    """All parameters as rows of one matrix: context vectors, class vectors, member vectors, context weights.  The last column is the bias."""
+
+    def __init__(self, v: Vocabulary, weights: np.ndarray | None = None):
+        self.v = v
+        if weights is None:  # small random vectors; the biases are log frequencies, so the model starts as the unigram
+            rng = np.random.default_rng(5)
+            weights = rng.normal(0, 0.1, (v.rows, DIM + 1)).astype(np.float32)
+            weights[: v.pad + 1, DIM] = 0
+            weights[v.pad] = 0
+            weights[-CONTEXT:] = 1
+            weights[-CONTEXT:, DIM] = 0
+        self.w = weights
+        a, b, c = v.pad + 1, v.pad + 1 + v.classes, v.pad + 1 + v.classes + v.members
+        self.at = (a, b, c)
+        self.inp, self.cls, self.mem, self.mix = weights[:a, :DIM], weights[a:b], weights[b:c], weights[c:, :DIM]
+
+    @classmethod
+    def start(cls, v: Vocabulary) -> Model:
+        m = cls(v)
+        m.cls[:, DIM], m.mem[:, DIM] = np.log(v.q_class), np.log(v.q_member)
+        return m
+
+    def hidden(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Predicted vectors, and a column of ones, for the n positions that follow the first CONTEXT of each run of vectors."""
+        out = np.empty((*rows.shape[:-2], n, DIM + 1), np.float32)
+        out[..., DIM] = 1
+        h = out[..., :DIM]
+        np.multiply(rows[..., CONTEXT - 1 : CONTEXT - 1 + n, :], self.mix[0], out=h)
+        for j in range(1, CONTEXT):
+            h += rows[..., CONTEXT - 1 - j : CONTEXT - 1 - j + n, :] * self.mix[j]
+        return out
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """(positions, CONTEXT) classes before each position of one text."""
-    padded = np.concatenate([np.full(CONTEXT, PAD, ids.dtype), ids[:-1]])
-    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[: len(ids)]
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
 class Trainer:
-    """NCE with noise drawn from the class frequencies and shared by a batch; Adagrad steps."""
-
-    def __init__(self, params: Params, freq: np.ndarray, seed: int):
-        self.p, self.rng, self.steps = params, np.random.default_rng(seed), 0
-        q = (freq + 0.1) / (freq + 0.1).sum()
-        self.q, self.log_q = q, np.log(q * NOISE).astype(np.float32)
-        self.square = [np.full(x.shape, 1e-4, np.float32) for x in (params.inp, params.mix, params.out, params.bias)]
-
-    def step(self, ctx: np.ndarray, y: np.ndarray) -> None:
-        p = self.p
-        rows = p.inp[ctx]  # (batch, CONTEXT, DIM)
-        h = (rows * p.mix).sum(1)
-        noise = self.rng.choice(len(self.q), NOISE, p=self.q)
-        good = 1 / (1 + np.exp(-((h * p.out[y]).sum(1) + p.bias[y] - self.log_q[y])))
-        bad = 1 / (1 + np.exp(-(h @ p.out[noise].T + p.bias[noise] - self.log_q[noise])))
-        n = len(y)
-        dg, db = (good - 1) / n, bad / n
-        g_out, g_bias = np.zeros_like(p.out), np.zeros_like(p.bias)
-        np.add.at(g_out, y, dg[:, None] * h)
-        np.add.at(g_out, noise, db.T @ h)
-        np.add.at(g_bias, y, dg)
-        np.add.at(g_bias, noise, db.sum(0))
-        gh = dg[:, None] * p.out[y] + db @ p.out[noise]
-        g_rows = gh[:, None, :] * p.mix
-        g_in = np.zeros_like(p.inp)
-        flat = ctx.ravel()
-        order = np.argsort(flat, kind="stable")
-        keys, first = np.unique(flat[order], return_index=True)
-        g_in[keys] = np.add.reduceat(g_rows.reshape(-1, DIM)[order], first, axis=0)
-        g_mix = (gh[:, None, :] * rows).sum(0)
-        for x, g, s in zip((p.inp, p.mix, p.out, p.bias), (g_in, g_mix, g_out, g_bias), self.square):
-            s += g * g
-            x -= RATE * 0.2 * g / np.sqrt(s)
-        self.steps += 1
-
-
-def train_on(texts: Iterator[bytes | None], params: Params, classes: dict[bytes, int], freq: np.ndarray, seed: int) -> tuple[Params, int]:
-    """Parameters after steps over all the texts, at least LEAST_STEPS of them (small inputs go round again); positions used."""
-    trainer, known = Trainer(params, freq, seed), Classes(classes)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    ctx, y, used = [], [], 0
-
-    def flush(least: int) -> None:
-        nonlocal ctx, y
-        if sum(map(len, y)) < least or not y:
-            return
-        c, t = np.concatenate(ctx), np.concatenate(y)
-        mixed = trainer.rng.permutation(len(t))
-        for i in range(0, len(t), BATCH):
-            at = mixed[i : i + BATCH]
-            trainer.step(c[at], t[at])
-        if trainer.steps < LEAST_STEPS:
-            kept.append((c, t))
-        ctx, y = [], []
+    """NCE: noise classes drawn by frequency and shared by a step, noise members drawn within the target's class.  Adagrad steps on touched rows, with one rate for a row."""
+
+    def __init__(self, model: Model, seed: int):
+        v = model.v
+        self.m, self.rng = model, np.random.default_rng(seed)
+        self.square = np.full(len(model.w), 1e-8, np.float32)
+        self.touched = np.zeros(len(model.w), np.float32)
+        self.log_class, self.log_member = np.log(v.q_class * NOISE).astype(np.float32), np.log(v.q_member * NOISE_MEMBERS).astype(np.float32)
+        self.drawn = self.rng.choice(v.classes, 1 << 18, p=v.q_class).astype(np.int32)
+        self.upto = np.cumsum(v.q_member)  # each class adds one
+        self.least = np.arange(v.ends, dtype=np.float64)
+
+    def _update(self, rows: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        key = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, g = key[first], np.add.reduceat(grads[order], first, axis=0)
+        s = self.square[key] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.square[key] = s
+        g *= (RATE / np.sqrt(s))[:, None]
+        self.m.w[key] -= g
+        self.touched[key] += 1
+
+    def step(self, x: np.ndarray, y: np.ndarray, member: np.ndarray) -> None:
+        """x: runs of CONTEXT + SEGMENT context rows; y, member: runs of SEGMENT classes (-1 past the end of a text) and members (-1: none)."""
+        m, v = self.m, self.m.v
+        a, b, c = m.at
+        rows = m.inp[x]
+        flat, real = m.hidden(rows, SEGMENT).reshape(-1, DIM + 1), np.flatnonzero(y.ravel() >= 0)
+        h, y, member = flat[real], y.ravel()[real], member.ravel()[real]
+        z = self.drawn[self.rng.integers(0, len(self.drawn), NOISE)]
+        wy, wz = m.cls[y], m.cls[z]
+        good = _sigmoid(np.einsum("ij,ij->i", h, wy) - self.log_class[y]) - 1
+        bad = _sigmoid(h @ wz.T - self.log_class[z])
+        gh = good[:, None] * wy
+        gh += bad @ wz
+        keys, grads = [a + y, a + z], [good[:, None] * h, bad.T @ h]
+        two = np.flatnonzero(member >= 0)
+        if len(two):
+            h2, e = h[two], y[two] - v.first
+            u = self.least[e][:, None] + self.rng.random((len(two), NOISE_MEMBERS))
+            noise = np.searchsorted(self.upto, u, side="right").astype(np.int32)
+            ids = np.concatenate([member[two][:, None], np.clip(noise, v.starts[e][:, None], v.starts[e + 1][:, None] - 1)], 1)
+            w = m.mem[ids]
+            d = _sigmoid(np.matmul(w, h2[:, :, None])[:, :, 0] - self.log_member[ids])
+            d[:, 0] -= 1
+            gh[two] += np.matmul(d[:, None, :], w)[:, 0]
+            keys.append(b + ids.ravel())
+            grads.append((d[:, :, None] * h2[:, None, :]).reshape(-1, DIM + 1))
+        g = np.zeros((flat.shape[0], DIM), np.float32)
+        g[real] = gh[:, :DIM]
+        g = g.reshape(len(x), SEGMENT, DIM)
+        g_rows, g_mix = np.zeros((*rows.shape[:-1], DIM + 1), np.float32), np.zeros((CONTEXT, DIM + 1), np.float32)
+        for j in range(CONTEXT):
+            run = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + SEGMENT)
+            g_rows[:, run, :DIM] += g * m.mix[j]
+            g_mix[j, :DIM] = np.einsum("abd,abd->d", g, rows[:, run])
+        self._update(np.concatenate([x.ravel(), np.arange(c, c + CONTEXT), *keys]), np.concatenate([g_rows.reshape(-1, DIM + 1), g_mix, *grads]))
+        m.w[v.pad] = 0
+
+
+def runs(v: Vocabulary, row: np.ndarray, cls: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One text cut into runs of SEGMENT positions with the CONTEXT rows before them."""
+    n = len(row)
+    k = -(-n // SEGMENT)
+    x = np.full(CONTEXT + k * SEGMENT, v.pad, np.int32)
+    x[CONTEXT : CONTEXT + n] = row
+    y, z = np.full(k * SEGMENT, -1, np.int32), np.full(k * SEGMENT, -1, np.int32)
+    y[:n], z[:n] = cls, member
+    return np.lib.stride_tricks.sliding_window_view(x, CONTEXT + SEGMENT)[::SEGMENT], y.reshape(k, SEGMENT), z.reshape(k, SEGMENT)
+
+
+def numbered(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct tokens, and each text as positions in them."""
+    number = dict.fromkeys(t for ts in texts for t in ts)
+    names = list(number)
+    number.update(zip(names, range(len(names))))
+    return names, [np.fromiter(map(number.__getitem__, ts), np.int64, len(ts)) for ts in texts]
+
+
+def train_on(texts: Iterator[bytes | None], model: Model, seed: int) -> tuple[Trainer, int]:
+    """A trainer after steps over every position of all the texts, and the number of positions."""
+    trainer, v = Trainer(model, seed), model.v
+    buffer: list[list[bytes]] = []
+    held = used = 0
+
+    def flush() -> None:
+        nonlocal buffer, held
+        names, ids = numbered(buffer)
+        look = v.look(names)
+        cut = [runs(v, *(x[k] for x in look)) for k in ids]
+        x, y, z = (np.concatenate([r[i] for r in cut]) for i in range(3))
+        mixed = trainer.rng.permutation(len(x))
+        for i in range(0, len(x), SEGMENTS):
+            at = mixed[i : i + SEGMENTS]
+            trainer.step(x[at], y[at], z[at])
+        buffer, held = [], 0
 
     for text in texts:
-        ids = np.fromiter(map(known.__getitem__, tokens(text)), np.int16)
-        ctx.append(contexts(ids))
-        y.append(ids)
-        used += len(ids)
-        flush(BATCH * 40)
-    flush(0)
-    while kept and trainer.steps < LEAST_STEPS:
-        for c, t in kept:
-            for i in range(0, len(t), BATCH):
-                trainer.step(c[i : i + BATCH], t[i : i + BATCH])
-    return trainer.p, used
-
-
-def class_scores(params: Params, ids: np.ndarray, block: int = 4096) -> float:
-    """Sum of the log10 class probabilities of one text (or of several, given their contexts)."""
-    return float(score_positions(params, contexts(ids), ids, block).sum())
-
-
-def score_positions(params: Params, ctx: np.ndarray, ids: np.ndarray, block: int = 1024) -> np.ndarray:
-    tables = [params.inp * params.mix[j] for j in range(CONTEXT)]
-    out, out_t = np.empty(len(ids), np.float64), np.ascontiguousarray(params.out.T)
-    for i in range(0, len(ids), block):
-        c, y = ctx[i : i + block], ids[i : i + block]
-        h = tables[0][c[:, 0]]
-        for j in range(1, CONTEXT):
-            h += tables[j][c[:, j]]
-        z = h @ out_t
-        z += params.bias
-        own = z[np.arange(len(y)), y]
-        np.exp(z, out=z)  # the weights keep logits far below overflow; checked by isfinite below
-        total = z.sum(1)
-        if not np.isfinite(total).all():
-            z = h @ out_t + params.bias
-            top = z.max(1)
-            total, own = np.exp(z - top[:, None]).sum(1), own - top
-        out[i : i + block] = own - np.log(total)
+        buffer.append(tokens(text))
+        held, used = held + len(buffer[-1]), used + len(buffer[-1])
+        if held >= BUFFER * SEGMENT:
+            flush()
+    if buffer:
+        flush()
+    return trainer, used
+
+
+def _log_softmax(h: np.ndarray, w: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probability of row own[i] of w for h[i]."""
+    z = h @ w.T
+    at = np.arange(len(z))
+    mine = z[at, own]
+    with np.errstate(over="ignore"):
+        total = np.exp(z, out=z).sum(1)
+    if not np.isfinite(total).all() or (total == 0).any():  # logits far from the usual
+        z = h @ w.T
+        z -= z.max(1, keepdims=True)
+        mine, total = z[at, own], np.exp(z).sum(1)
+    return mine - np.log(total)
+
+
+def log10_scores(m: Model, row: np.ndarray, cls: np.ndarray, member: np.ndarray, block: int = 2048, wide: int = 1 << 16) -> np.ndarray:
+    """log10 probability of class and member at each position; texts follow each other, each after CONTEXT padding rows (class -1)."""
+    v, out = m.v, np.zeros(len(row), np.float64)
+    for i in range(CONTEXT, len(row), wide):
+        n = min(wide, len(row) - i)
+        h = m.hidden(m.inp[row[i - CONTEXT : i + n]], n)
+        at = np.flatnonzero(cls[i : i + n] >= 0)
+        for j in range(0, len(at), block):
+            k = at[j : j + block]
+            out[i + k] = _log_softmax(h[k], m.cls, cls[i + k])
+        two = at[member[i + at] >= 0]
+        e = cls[i + two] - v.first
+        order = np.argsort(e, kind="stable")
+        two, ends = two[order], np.searchsorted(e[order], np.arange(v.ends + 1))
+        for c in np.flatnonzero(np.diff(ends)).tolist():
+            lo, hi = v.starts[c], v.starts[c + 1]
+            for j in range(ends[c], ends[c + 1], block):
+                k = two[j : min(j + block, ends[c + 1])]
+                out[i + k] += _log_softmax(h[k], m.mem[lo:hi], member[i + k] - lo)
     return out / np.log(10)
 
 
 def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk"))
+    return docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
 
-def chunk_tokens(docs: DataFrame, chunks: int) -> DataFrame:
+def chunk_tokens(docs: DataFrame) -> DataFrame:
     """(chunk, token, c): the distinct tokens of each chunk with their counts in its training texts."""
 
     def count(table: pa.Table) -> pa.Table:
@@ -211,93 +316,127 @@ def chunk_tokens(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.groupBy("chunk").applyInArrow(count, "chunk int, token binary, c long")
 
 
-def train(docs: DataFrame, top: list[bytes], freq: np.ndarray) -> Params:
-    """Averaged parameters of all tasks' local models."""
+CHANGES = "block int, rows binary, touched binary, change binary"
+
+
+def train(docs: DataFrame, own: list[tuple[bytes, int]], ends: dict[int, tuple[int, int]]) -> np.ndarray:
+    """The weights after all tasks' changes are averaged."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(({t: i for i, t in enumerate(top)}, freq, start(freq).flat()))
+    shared = spark.sparkContext.broadcast((own, ends))
+
+    def batch(blocks: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for k, rows, touched, change in blocks:
+            cells = (rows.astype("<u2").tobytes(), touched.astype("<f4").tobytes(), change.astype("<f2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["block", "rows", "touched", "change"])
+
+    def unpack(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for r in b.to_pylist():
+            yield r["block"], np.frombuffer(r["rows"], "<u2"), np.frombuffer(r["touched"], "<f4"), np.frombuffer(r["change"], "<f2").reshape(-1, DIM + 1).astype(np.float32)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        classes, f, flat = shared.value
-        params, used = train_on((t.as_py() for b in batches for t in b.column("text")), Params.of(flat), classes, f, TaskContext.get().partitionId())
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.array([params.flat().astype("<f4").tobytes()], pa.binary()), pa.array([used], pa.int64())], ["flat", "used"])
+        model = Model.start(Vocabulary(*shared.value))
+        before = model.w.copy()
+        trainer, _ = train_on((t.as_py() for b in batches for t in b.column("text")), model, TaskContext.get().partitionId())
+        rows = np.flatnonzero(trainer.touched)
+        for k in np.unique(rows // BLOCK).tolist():
+            mine = rows[rows // BLOCK == k]
+            yield from batch(iter([(k, mine - k * BLOCK, trainer.touched[mine], model.w[mine] - before[mine])]))
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for flat, used in zip(b.column("flat").to_pylist(), b.column("used").to_pylist()):
-                x = np.frombuffer(flat, "<f4").astype(np.float64) * used
-                total, n = (x if total is None else total + x), n + used
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["flat", "used"])
+            for k, rows, touched, change in unpack(b):
+                t = total.setdefault(k, np.zeros((BLOCK, DIM + 2), np.float32))
+                t[rows, : DIM + 1] += touched[:, None] * change
+                t[rows, DIM + 1] += touched
+        for k, t in total.items():
+            rows = np.flatnonzero(t[:, -1])
+            yield from batch(iter([(k, rows, t[rows, -1], t[rows, :-1] / t[rows, -1:])]))
 
     bounded_batches(spark)
-    trained = docs.where(~F.col("held_out")).select("text").mapInArrow(local, "flat binary, used long")
-    rows = trained.repartition(AVERAGES).mapInArrow(mean, "flat binary, used long").collect()
-    if not rows:
-        return start(freq)
-    return Params.of((sum(np.frombuffer(r["flat"], "<f4").astype(np.float64) * r["used"] for r in rows) / sum(r["used"] for r in rows)).astype(np.float32))
+    changes = docs.where(~F.col("held_out")).select("text").mapInArrow(local, CHANGES)
+    averaged = changes.repartition(AVERAGES, "block").mapInArrow(mean, CHANGES)
+    model = Model.start(Vocabulary(own, ends))
+    for r in averaged.toLocalIterator():  # the model itself, whose size MOST bounds
+        rows = np.frombuffer(r["rows"], "<u2").astype(np.int64) + r["block"] * BLOCK
+        model.w[rows] += np.frombuffer(r["change"], "<f2").reshape(-1, DIM + 1)
+    shared.unpersist()
+    return model.w
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
-    chunks = max(LEAST_CHUNKS, -(-size // CHUNK))
-    dealt = _chunked(docs, chunks)
+    dealt = _chunked(docs, max(LEAST_CHUNKS, -(-size // CHUNK)))
     bounded_batches(spark)
-    asked = settle(chunk_tokens(dealt, chunks), "asked")
-    # a token's chunks are listed with its count: at most one entry for each chunk
-    counted = settle(asked.groupBy("token").agg(F.sum("c").alias("c"), F.collect_list("chunk").alias("chunks")), "counts")
+    asked = settle(chunk_tokens(dealt), "asked")
+    counted = settle(asked.groupBy("token").agg(F.sum("c").alias("c")), "counts")
     total, kinds = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["token"]), r["c"]) for r in counted.where("c > 0").select("token", "c").orderBy(F.desc("c"), "token").limit(TOP).collect()]
-    last = F.expr("substring(token, greatest(length(token) - 2, 1), 3)")
-    group = (F.crc32(last) % ENDINGS).cast("int")
-    rest = counted.where((F.col("c") > 0) & ~F.col("token").isin([bytearray(t) for t, _ in top])) if top else counted.where("c > 0")
-    ends = {r["g"]: (r["n"], r["v"]) for r in rest.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    freq = np.array([c for _, c in top] + [0] * (TOP - len(top)) + [ends.get(g, (0, 0))[0] for g in range(ENDINGS)], np.float64)
-    params = train(dealt, [t for t, _ in top], freq)
-    shared = spark.sparkContext.broadcast(({t: i for i, (t, _) in enumerate(top)}, params.flat(), ends))
+    own = [(bytes(r["token"]), r["c"]) for r in counted.where("c > 0").orderBy(F.desc("c"), "token").limit(own_words(kinds)).collect()]
+    # own words are those up to the last one in that order
+    least = own[-1] if own else (b"", 1 << 62)
+    is_own = (F.col("c") > least[1]) | ((F.col("c") == least[1]) & (F.col("token") <= F.lit(bytearray(least[0]))))
+    ending = (F.crc32(F.expr("substring(token, greatest(length(token) - 2, 1), 3)")) % endings(len(own))).cast("int")
+    ends = {r["e"]: (r["n"], r["v"]) for r in counted.where((F.col("c") > 0) & ~is_own).groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    weights = train(dealt, own, ends)
+    shared = spark.sparkContext.broadcast((own, ends, weights.astype("<f4").tobytes()))
+
+    loaded: list[tuple[Model, np.ndarray]] = []
+
+    def load() -> tuple[Model, np.ndarray]:
+        if not loaded:  # once for each task
+            words, rests, flat = shared.value
+            v = Vocabulary(words, rests)
+            base = np.log10((v.count + 0.1) / (total + 0.1 * (kinds + 1)))
+            loaded.append((Model(v, np.frombuffer(flat, "<f4").reshape(v.rows, DIM + 1)), base))
+        return loaded[0]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        classes, flat, groups = shared.value
-        model, known = Params.of(flat), Classes(classes)
-        # the chunk's tokens are numbered, so each token is looked up once and the rest is array arithmetic
-        names = right.column("token").to_pylist()
-        c = right.column("c").to_numpy().astype(np.float64)
-        at_class = np.fromiter(map(known.__getitem__, names), np.int16, len(names))
-        n_of, v_of = np.zeros(PAD), np.zeros(PAD)
-        for g, (n, v) in groups.items():
-            n_of[TOP + g], v_of[TOP + g] = n, v
-        base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-        within = np.where(at_class < TOP, 0.0, np.log10((c + 0.1) / (n_of[at_class] + 0.1 * (v_of[at_class] + 1))))
-        number, seen, out = {x: i for i, x in enumerate(names)}, c > 0, []
-        ids, ctx, spans, at = [], [], [], 0
+        model, own_base = load()
+        v, out = model.v, []
+        count = dict(zip(right.column("token").to_pylist(), right.column("c").to_pylist()))
+        texts: list[list[bytes]] = []
+        rows: list[tuple] = []
+        held = 0
 
         def flush() -> None:
-            nonlocal ids, ctx, spans, at
-            if spans:
-                per_text = np.add.reduceat(score_positions(model, np.concatenate(ctx), np.concatenate(ids)), [s[0] for s in spans])
-                out.extend((*row, inside + p) for (_, inside, row), p in zip(spans, per_text.tolist()))
-                ids, ctx, spans, at = [], [], [], 0
-
-        for doc, text, held in zip(left.column("doc_id").to_pylist(), left.column("text"), left.column("held_out").to_pylist()):
-            ts = tokens(text.as_py())
-            k = np.fromiter(map(number.__getitem__, ts), np.int32, len(ts))
-            ids.append(at_class[k])
-            ctx.append(contexts(ids[-1]))
-            spans.append((at, float(within[k].sum()), (doc, held, len(ts), int(seen[k].sum()), total, float(base[k].sum()))))
-            at += len(ts)
-            if at > 50_000:
+            nonlocal texts, rows, held
+            names, ids = numbered(texts)
+            row, cls, member = v.look(names)
+            other = row >= v.own
+            c = np.zeros(len(names))
+            c[other] = [count.get(names[i], 0) for i in np.flatnonzero(other).tolist()]
+            base, inside, known = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), np.zeros(len(names)), other.copy()
+            base[~other], known[other] = own_base[row[~other]], c[other] > 0
+            known[~other] = True
+            e = cls[other] - v.first
+            inside[other] = np.log10((c[other] + 0.1) / (v.rest[e, 0] + 0.1 * (v.rest[e, 1] + 1)))
+            lead = np.full(CONTEXT, -1)
+            k = np.concatenate([x for i in ids for x in (lead, i)])
+            real = k >= 0
+            at, starts = k[real], np.cumsum([0, *map(len, ids[:-1])])
+            logs = log10_scores(model, np.where(real, row[k], v.pad), np.where(real, cls[k], -1), np.where(real, member[k], -1))[real] + inside[at]
+            sums = [np.add.reduceat(x, starts).tolist() for x in (known[at].astype(np.int64), base[at], logs)]
+            out.extend((*r, len(i), n, total, b, s) for r, i, n, b, s in zip(rows, ids, *sums))
+            texts, rows, held = [], [], 0
+
+        for doc, text, is_out in zip(left.column("doc_id").to_pylist(), left.column("text"), left.column("held_out").to_pylist()):
+            texts.append(tokens(text.as_py()))
+            rows.append((doc, is_out))
+            held += len(texts[-1])
+            if held > 1 << 17:
                 flush()
-        flush()
-        cols = list(zip(*out)) if out else [()] * 7
+        if texts:
+            flush()
         types = [left.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(x, t) for x, t in zip(cols, types)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 7, types)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = counted.select(F.explode("chunks").alias("chunk"), "token", "c")
+    # own words are known to every task: only the others go back to the chunks that ask for them
+    known = spark.createDataFrame(pa.table({"token": pa.array([t for t, _ in own], pa.binary())}))
+    back = asked.join(F.broadcast(known), "token", "left_anti").select("chunk", "token").join(counted.where("c > 0"), "token")
     kinds_ = dict(docs.select("doc_id").dtypes)
     bounded_batches(spark)
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, f"doc_id {kinds_['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
