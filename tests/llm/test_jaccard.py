@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from twinreel.llm import jaccard
+from twinreel.llm import jaccard, simhash
 
 
 def _shingles(text):
@@ -69,3 +69,47 @@ def test_rows_with_null_or_repeated_ids_go_only_as_copies(spark):
     assert got.columns == df.columns
     want = [(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (6, "")]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_search_finds_nearly_all_pairs_at_the_threshold(spark):
+    """Recall of the SimHash search itself, on pairs with coefficients of 0.8 to 0.83, long and short."""
+    import numpy as np
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("bcdfglmnprst", k=7))
+    rows, pairs = [], 0
+    while pairs < 300:
+        n = rng.choice([9, 14, 30, 100, 400])
+        a = [word() for _ in range(n)]
+        b = [*a[: n - max(1, round((n - 4) / 9))]]
+        b += [word() for _ in range(n - len(b))]
+        x, y = _shingles(" ".join(a)), _shingles(" ".join(b))
+        if not 0.8 <= len(x & y) / len(x | y) <= 0.83:
+            b = a[: n - max(1, (n - 4) // 5)]
+            y = _shingles(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.83:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash.set_prints(df, 5, ["doc_id"])
+    of = {r["id"]: r["doc_id"] // 2 for r in prints.collect()}
+    found = {of[r["child"]] for r in simhash.set_links(prints.select("id", "bits")).collect() if of[r["child"]] == of[r["parent"]]}
+    assert len(found) >= 0.97 * pairs
+    assert np.unique([d for d, _ in rows]).size == 2 * pairs
+
+
+def test_a_large_group_is_compared_by_leaders():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, (3, simhash.CHECK_WORDS), dtype=np.uint64)
+    check = np.concatenate([np.repeat(c[None], 400, 0) for c in centre])
+    flips = rng.random((*check.shape, 64)) < rng.uniform(0.02, 0.25, len(check))[:, None, None]
+    check ^= (flips * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(-1).astype(np.uint64)
+    ids, home = np.arange(len(check)), rng.random(len(check)) < 0.8
+    links = simhash.Links()
+    simhash.hot_leaf(ids, check, home, 73)(np.flatnonzero(home), np.flatnonzero(~home), links)
+    i, j = np.nonzero((simhash.apart(check[:, None], check[None, :]) <= 73) & (home[:, None] | home[None, :]))
+    keep = i < j
+    want = dict(zip(*(x.tolist() for x in simhash.forest(i[keep], j[keep]))))
+    assert dict(zip(*(x.tolist() for x in links.result()))) == want

@@ -72,6 +72,52 @@ def test_mix(spark, texts):
     assert used.count() == sum(len(r["positions"]) for r in mixing.mix(docs).collect())
 
 
+def _reached(knots, share):
+    """The time at which the schedule's integral reaches its share, by bisection on an integral of its own."""
+
+    def area(t):
+        return sum((min(t, b) - a) * (w + w + (v - w) * (min(t, b) - a) / (b - a)) / 2 for (a, w), (b, v) in zip(knots, knots[1:]) if t > a)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if area(mid) < share * area(1.0) else (low, mid)
+    return low
+
+
+def test_positions_invert_the_cumulative_demand(spark):
+    rng = random.Random(9)
+    texts = ["w " * rng.randrange(0, 40) for _ in range(120)]
+    docs = _docs(spark, texts, ["a", "b", "c"])
+    curves = ([(0, 3), (0.25, 1), (1, 1)], [(0, 1), (1, 4)], [(0, 2), (0.5, 0), (1, 1)])
+    rows = mixing.mix(docs, weights=(5, 2, 1), schedules=curves).collect()
+    for source, knots, weight in zip("abc", curves, (5, 2, 1)):
+        mine = sorted((r for r in rows if r["source"] == source), key=lambda r: (r["row_key"], r["doc_id"]))
+        whole, demand, at = sum(r["size"] for r in mine), int(mine[0]["target"] + 0.5), 0
+        for r in mine:
+            starts = [at + k * whole for k in range(2) if r["size"] and at + k * whole < demand]
+            assert len(r["positions"]) == len(starts)
+            for got, x in zip(r["positions"], starts):
+                assert got == pytest.approx(_reached(knots, x / demand), abs=1e-6)
+            assert r["taken"] == sum(min(r["size"], demand - x) for x in starts)
+            at += r["size"]
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    names = ["_th", "_id", "_salt", "_position", "_positions", "_key", "row", "key", "position", "row_key", "a.b", "_bad"]
+    rows = [(i, f"one two three four five six seven eight nine ten eleven {i if i else ''}", "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven 3")], "item_id long, text string")
+    kept = decontaminate.remove_documents(docs, bench, 12).collect()
+    assert sorted(map(tuple, kept)) == [r for r in rows if r[0] != 3]
+    used = mixing.training_order(docs, mixing.mix(docs))
+    assert used.columns == docs.columns
+    assert set(map(tuple, used.collect())) <= set(rows)
+    import corpus_pipeline as p
+
+    assert sorted(map(tuple, p.drop_near_duplicates(spark, docs, "").collect())) == rows[:1]  # the first is 0.875 like each of the others
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(_docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(_docs(spark, [None, ""])).collect()] == [0, 0]

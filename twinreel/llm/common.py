@@ -83,5 +83,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """Each row as one column `row`, and further columns that no column of the caller's can clash with."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), *(v.alias(k) for k, v in extra.items()))
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-rows // per_part))

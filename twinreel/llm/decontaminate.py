@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinreel.llm.common import ascii_lower, let, settle
+from twinreel.llm.common import ascii_lower, let, packed, settle
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SET_LIMIT = 100_000
@@ -54,8 +54,12 @@ def _salted(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text", F.reverse("text"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_th", F.xxhash64("text", F.reverse("text")))
+    return docs.withColumn("_th", _text_hash())
 
 
 def contaminated_texts(keyed: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame | None:
@@ -120,11 +124,11 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Data
     found = contaminated_texts(_keyed(docs.select("doc_id", "text")), benchmark, n)
     if found is None:
         return docs
-    bad, cols = settle(found.select(F.col("_th2").alias("_bad")), "contaminated"), docs.columns
-    keyed, same = _keyed(docs), F.col("_th") == F.col("_bad")
+    bad = settle(found.select(F.col("_th2").alias("_bad")), "contaminated")
+    keyed, same = packed(docs, _th=_text_hash(), _salt=_salt(F.col("doc_id"))), F.col("_th") == F.col("_bad")
     if bad.count() <= BROADCAST_TEXTS:
-        return keyed.join(F.broadcast(bad), same, "left_anti").select(*cols)
-    return keyed.withColumn("_salt", _salt(F.col("doc_id"))).join(_salted(bad), same & (F.col("_salt") == F.col("_salt2")), "left_anti").select(*cols)
+        return keyed.join(F.broadcast(bad), same, "left_anti").select("row.*")
+    return keyed.join(_salted(bad), same & (F.col("_salt") == F.col("_salt2")), "left_anti").select("row.*")
 
 
 def cut_spans(hit: DataFrame) -> DataFrame:

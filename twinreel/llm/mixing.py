@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from twinreel.llm.common import parts_for, settle
+from twinreel.llm.common import packed, parts_for, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source that one task numbers; a hot source is cut into as many hash ranges as it needs.
@@ -70,6 +70,10 @@ def _invert(u: Column) -> Column:
     return F.least(t0 + F.when(root > 0, 2 * area / root).otherwise(0.0), t1)
 
 
+def row_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -78,7 +82,7 @@ def mix(
     schedules: Sequence[Sequence[tuple[float, float]]] = (((0, 1), (1, 1)),),
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, positions (one for each use).
+    """One row per document: doc_id, source, size, source_size, target, taken, positions (one for each use), row_key.
 
     `weights` and `schedules` go round the sources in code-point order, null last.  All targets
     together are `share` x all words.  A source's words are laid out in seeded hash order, over and
@@ -90,7 +94,7 @@ def mix(
         docs.select(
             "doc_id", "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"),
+            row_key(seed).alias("_h"),
         ),
         "mix",
     )
@@ -114,7 +118,7 @@ def mix(
     taken = uses[0]
     for u in uses[1:]:
         taken = taken + u
-    return at.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.filter(F.array(*starts), lambda x: x.isNotNull()).alias("positions"))
+    return at.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.filter(F.array(*starts), lambda x: x.isNotNull()).alias("positions"), F.col("_h").alias("row_key"))
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
@@ -122,15 +126,17 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("position", F.try_element_at("positions", F.lit(1))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def training_order(docs: DataFrame, mixed: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed corpus: each document once for each use, its columns unchanged, range-sorted by position.
 
-    A document taken in part is kept whole.  Joins on doc_id; rows that share a doc_id share its uses.
+    A document taken in part is kept whole.  `seed` is that of the mix.  Rows equal in doc_id and text share the uses of
+    the one that is used most.  The narrow table of uses grows with the documents, so it is never broadcast: the
+    plan is the same at every size.
     """
-    spark_cols = docs.columns
-    uses = mixed.groupBy("doc_id").agg(F.max("positions").alias("_positions")).select(F.col("doc_id").alias("_id"), F.explode("_positions").alias("_position"))
-    return docs.join(uses, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*spark_cols)
+    uses = mixed.groupBy("row_key").agg(F.max("positions").alias("positions")).where(F.size("positions") > 0)
+    placed = packed(docs, key=row_key(seed), doc_id=F.col("doc_id")).join(uses.hint("merge"), F.col("key") == F.col("row_key")).select("row", "doc_id", F.explode("positions").alias("position"))
+    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 def schema() -> T.StructType:
-    return T.StructType.fromDDL("doc_id long, source string, size long, source_size long, target double, taken long, positions array<double>")
+    return T.StructType.fromDDL("doc_id long, source string, size long, source_size long, target double, taken long, positions array<double>, row_key long")
