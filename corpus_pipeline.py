@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinreel.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from twinreel.llm.common import drop_settled, settle
+from twinreel.llm import decontaminate, jaccard, mixing, sharding, simhash, toxicity
+from twinreel.llm.common import drop_settled, packed, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,23 +21,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id, nulls last, and of equal doc_ids the least digest.
 
-    Two documents are linked if their sets of five-word shingles have a Jaccard coefficient of 0.8 or
-    more, by the sets themselves; groups are what links connect.  Rows are told apart by doc_id and text
+    Candidates come from vantage-point trees over SimHash fingerprints of the sets of five-word shingles; two are
+    linked if the Jaccard coefficient of the sets themselves is 0.8 or more; groups are what links connect.  Rows are told apart by doc_id and text
     (a digest of both), never by doc_id alone: ids may be null or repeated.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"))
-    printed = settle(jaccard.prints(docs.withColumn("_key", key), 5, ["doc_id", "_key"]), "prints")
-    found = jaccard.components(printed, 0.8)
+    keyed = docs.select("doc_id", "text", key.alias("_key"))
+    printed = settle(simhash.set_prints(keyed, 5, ["doc_id", "_key"]), "prints")
+    links = settle(simhash.set_links(printed.groupBy("id").agg(F.first("bits").alias("bits"))), "links")
+    found = jaccard.components(keyed.select("_key", "text"), printed, links, 5, 0.8)
     # the documents to drop are fewer than those to keep: a small table spares the texts a shuffle
     named = settle(printed.select("doc_id", "_key", "id").join(found, "id", "left").select("doc_id", "_key", F.coalesce("root", "id").alias("group")), "components")
     drop_settled(printed)
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).getField("_key").alias("first"), F.count("*").alias("c")).where("c > 1")
     grouped = settle(named.join(first, "group"), "grouped")
     gone = settle(grouped.where("_key <> first").select(F.col("_key").alias("_gone")).distinct(), "duplicates")
-    out = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    out = packed(docs, _key=key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
     # rows with equal doc_id and text have one key: such a key stays once
     repeated = grouped.where("_key = first").groupBy("group").count().where("count > 1").limit(1).count() > 0
-    return (out.dropDuplicates(["_key"]) if repeated else out).drop("_key")
+    return (out.dropDuplicates(["_key"]) if repeated else out).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Model fitting, SimHash and hash order are not SQL: tests compare each stage with a brute-force version.
+#: Model fitting, SimHash and hash order are not SQL: tests compare near-duplicates, decontamination, mixing and sharding with brute
+#: force, and toxicity with its labels.
 ORACLE_SQL = None
 
 
