@@ -101,16 +101,18 @@ def block_plan(distance: int, blocks: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def block_work(distance: int, blocks: int, rows: int) -> tuple[float, float]:
+    """(keys made, candidates met) for each hash, as estimated for evenly spread hashes."""
+    keys = meets = 0.0
+    for _, bits, radius in block_plan(distance, blocks):
+        if radius >= 0:
+            n = sum(comb(bits, i) for i in range(radius + 1))
+            keys += n
+            meets += n * rows / 2**bits
+    return keys + blocks, meets
+
+
 def best_blocks(distance: int, rows: int) -> int:
-    """Number of blocks with the least estimated work: keys made plus candidates met."""
-
-    def cost(blocks: int) -> float:
-        keys = meets = 0.0
-        for _, bits, radius in block_plan(distance, blocks):
-            if radius >= 0:
-                n = sum(comb(bits, i) for i in range(radius + 1))
-                keys += n
-                meets += n * rows / 2**bits
-        return 10 * (keys + blocks) + meets
-
-    return min(range(3, 9), key=cost)
+    """Number of blocks with the least estimated work; a key, which is shuffled, counts as ten candidates."""
+    works = {b: block_work(distance, b, rows) for b in range(2, 17)}
+    return min(works, key=lambda b: 10 * works[b][0] + works[b][1])

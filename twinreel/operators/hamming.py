@@ -10,15 +10,21 @@ Equal hashes are joined once and expanded afterwards.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinreel.constants import best_blocks, block_plan, masks
+from twinreel.constants import best_blocks, block_plan, block_work, masks
 from twinreel.functions.hashing import block, hamming
+from twinreel.plans.storage import settle
 
 #: Distinct hashes up to which comparing all of them is cheaper than dealing keys.
 DIRECT_ROWS = 3_000
+#: Distinct hashes that are broadcast at most, whatever route is asked for (8 bytes each).
+BROADCAST_HASHES = 1_000_000
+#: Candidates that a task of the block route meets, about.
+TASK_CANDIDATES = 20_000_000
 
 
 def distinct_pairs_direct(hashes: DataFrame, tolerance: int) -> DataFrame:
@@ -37,13 +43,19 @@ def _probes(k: int, shift: int, bits: int, radius: int) -> Column:
     return F.transform(at, lambda m: _key(k, block(F.col("y"), shift, bits).bitwiseXOR(m)))
 
 
-def distinct_pairs_indexed(hashes: DataFrame, tolerance: int, blocks: int) -> DataFrame:
-    """(x, y, dist) with x <= y over distinct hashes, over blocks."""
+def _tasks(hashes: DataFrame, least: float = 0) -> int:
+    """Partitions for work that its few bytes do not show, so that they are not merged into one."""
+    return max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(least))
+
+
+def distinct_pairs_indexed(hashes: DataFrame, tolerance: int, blocks: int, rows: int = 0) -> DataFrame:
+    """(x, y, dist) with x <= y over distinct hashes (about `rows` of them), over blocks."""
+    tasks = _tasks(hashes, rows * block_work(tolerance, blocks, rows)[1] / TASK_CANDIDATES)
     plan = [(k, *p) for k, p in enumerate(block_plan(tolerance, blocks)) if p[2] >= 0]
     home = F.array(*[_key(k, block(F.col("x"), shift, bits)) for k, shift, bits, _ in plan])
     probes = F.concat(*[_probes(*p) for p in plan])
-    left = hashes.select(F.col("hash").alias("x")).select("x", F.explode(home).alias("key")).select("x", "key.k", "key.v")
-    right = hashes.select(F.col("hash").alias("y")).select("y", F.explode(probes).alias("key")).select("y", "key.k", "key.v")
+    left = hashes.select(F.col("hash").alias("x")).select("x", F.explode(home).alias("key")).select("x", "key.k", "key.v").repartition(tasks, "k", "v")
+    right = hashes.select(F.col("hash").alias("y")).select("y", F.explode(probes).alias("key")).select("y", "key.k", "key.v").repartition(tasks, "k", "v")
     dist = hamming(F.col("x"), F.col("y"))
 
     def earlier(k: int) -> Column:
@@ -60,10 +72,10 @@ def index_is_cheaper(rows: int) -> bool:
 
 def distinct_pairs(hashes: DataFrame, tolerance: int, route: str = "auto") -> DataFrame:
     """(x, y, dist) with x <= y, by the cheaper route; `hashes` has the distinct hashes."""
-    rows = hashes.count() if route != "direct" else 0
-    if route == "direct" or route == "auto" and not index_is_cheaper(rows):
+    rows = hashes.count()
+    if rows <= BROADCAST_HASHES and (route == "direct" or route == "auto" and not index_is_cheaper(rows)):
         return distinct_pairs_direct(hashes, tolerance)
-    return distinct_pairs_indexed(hashes, tolerance, best_blocks(tolerance, rows))
+    return distinct_pairs_indexed(hashes, tolerance, best_blocks(tolerance, rows), rows)
 
 
 def even_tolerance(hashes: DataFrame, tolerance: int) -> int:
@@ -74,8 +86,9 @@ def even_tolerance(hashes: DataFrame, tolerance: int) -> int:
 
 def frame_matches(samples: DataFrame, tolerance: int, route: str = "auto") -> DataFrame:
     """(a, b, i, j, offset, dist): every pair of samples of two media, a < b, within the tolerance."""
-    hashes = samples.select("hash").distinct()
-    pairs = distinct_pairs(hashes, even_tolerance(hashes, tolerance), route)
+    # read several times: the count, the bit counts and both sides of the join
+    hashes = settle(samples.select("hash").distinct().repartition(_tasks(samples)), "hashes")
+    pairs = settle(distinct_pairs(hashes, even_tolerance(hashes, tolerance), route), "pairs")
     both = pairs.unionByName(pairs.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "dist"))
     a = samples.select(F.col("media_id").alias("a"), F.col("idx").alias("i"), F.col("t_start").alias("ta"), F.col("hash").alias("x"))
     b = samples.select(F.col("media_id").alias("b"), F.col("idx").alias("j"), F.col("t_start").alias("tb"), F.col("hash").alias("y"))

@@ -27,8 +27,8 @@ class Result:
 
 def match_media(media: DataFrame, samples: DataFrame, distance: int = 4, percent: float = 20.0, min_duration: float = 0.0, route: str = "auto") -> DataFrame:
     """Pairs a < b that share enough, with the coverage and span of either side."""
-    frames = hamming.frame_matches(samples, tolerances(distance)[1], route)
-    marks = corroborated(frames, distance)
+    frames = settle(hamming.frame_matches(samples, tolerances(distance)[1], route), "frames")
+    marks = settle(corroborated(frames, distance), "marks")
     pairs = cov.percent_gate(cov.coverage(marks, samples, media), percent)
     return cov.seconds_gate(pairs, media, min_duration)
 

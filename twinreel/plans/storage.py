@@ -11,8 +11,10 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, or a temporary folder where that is unset (tests)."""
+    """`spark.checkpoint.dir`, or on a local master (tests) a temporary folder where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/") if named else _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="twinreel-"))
 
 
