@@ -18,10 +18,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or on a local master (tests) a temporary one where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="twinreel-")
