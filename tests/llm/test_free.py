@@ -63,6 +63,8 @@ def test_archives_round_trip(spark, tmp_path):
     warc.write_index(spark, archives, index)
     got = {r["page_id"]: r for r in warc.read_records(spark, index, archives).collect()}
     assert len(got) == 7
+    same = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert same(warc.lookup(spark, index, pages)) == same(warc.read_records(spark, index, archives))
     for i, _, html, _ in rows:
         data = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
@@ -89,6 +91,26 @@ def test_index_of_many_blocks(spark, tmp_path, monkeypatch):
         url = f"http://h{k % 9}.org/p{k % 20}"
         assert [r["page_id"] for r in c.lookup(url)] == [i for i in range(200) if (i % 9, i % 20) == (k % 9, k % 20)]
     assert warc.archive(pages.limit(0)).count() == 0
+    every = warc.lookup(spark, index, pages)
+    assert sorted(r["page_id"] for r in every.collect()) == list(range(200))
+    # only the ranges of the records asked for are read: everything else in the archives is destroyed
+    url = "http://h7.org/p7"
+    mine = [r for r in warc.captures(spark, archives).collect() if r["key"] == warc.url_key(url)]
+    for f in (tmp_path / "a").glob("part-*"):
+        whole, kept = f.read_bytes(), bytearray(len(f.read_bytes()))
+        for r in mine:
+            if r["file"].endswith(f.name):
+                kept[r["offset"] : r["offset"] + r["length"]] = whole[r["offset"] : r["offset"] + r["length"]]
+        f.write_bytes(kept)
+    asked = spark.createDataFrame([(url,), (url,), ("http://nowhere/",)], "url string")
+    got = sorted((r["page_id"], r["payload"]) for r in warc.lookup(spark, index, asked).collect())
+    assert got == [(i, f"<p>{i}".encode()) for i in range(200) if (i % 9, i % 20) == (7, 7)]
+
+
+def test_ranges_join_near_records():
+    places = [("a", 0, 10), ("a", 10, 5), ("a", 100_000, 5), ("b", 0, 7), ("b", 7, warc.READ)]
+    assert list(warc.ranges(places)) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 100_000, 100_005, [(100_000, 5)]), ("b", 0, 7, [(0, 7)]), ("b", 7, 7 + warc.READ, [(7, warc.READ)])]
+    assert list(warc.ranges([])) == []
 
 
 def test_members_end_in_zero():

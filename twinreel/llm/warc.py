@@ -25,12 +25,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinreel.llm.common import bounded_batches, new_path, settle
 
 BLOCK_LINES = 3000
+#: Index blocks whose directory is broadcast at most (100 bytes or so each).
+BROADCAST_BLOCKS = 500_000
+#: Ranges this near to each other are read at once, up to so many bytes; records of one such stretch of an archive go to one task.
+GAP, READ, STRETCH = 1 << 16, 8 << 20, 64 << 20
 #: Copies of one payload are dealt over this many keys where they meet their response.
 SALTS = 32
 #: Payloads with copies that are broadcast at most (a digest and an id each), and captures whose places are (16 bytes each).
@@ -243,12 +248,102 @@ def read_records(spark: SparkSession, index: str, archives: str) -> DataFrame:
     return _files(spark, archives).join(F.broadcast(at) if few else at, F.col("path") == F.col("file")).select("content", "at").mapInArrow(read, RECORD)
 
 
+def _open(file: str):
+    """A file for range reads on executors."""
+    if file.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", file))
+    fs, path = pafs.FileSystem.from_uri(file)
+    return fs.open_input_file(path)
+
+
+def range_readable(spark: SparkSession, path: str) -> bool:
+    """Whether executors can read ranges of files there: local (shared) folders, and stores that pyarrow knows."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    if uri.startswith("file:"):
+        return True
+    try:
+        pafs.FileSystem.from_uri(uri)
+    except Exception:  # an unknown scheme, or a store whose library is absent
+        return False
+    return True
+
+
+def ranges(places: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """(file, start, end, records) for records in order: near ones are one range."""
+    now = None
+    for file, at, n in places:
+        if now and now[0] == file and 0 <= at - now[2] <= GAP and at + n - now[1] <= READ:
+            now[2] = at + n
+            now[3].append((at, n))
+            continue
+        if now:
+            yield tuple(now)
+        now = [file, at, at + n, [(at, n)]]
+    if now:
+        yield tuple(now)
+
+
+def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame | None:
+    """The records of all the urls(url), each capture once; None if the directory is over BROADCAST_BLOCKS entries.
+
+    The directory is binary-searched for each distinct key, the keys of one block meet in one task, which reads the
+    block's range and binary-searches its lines; then the records' ranges are read, in order, by stretch of archive.
+    """
+    directory = spark.read.parquet(f"{index}/directory")
+    if directory.count() > BROADCAST_BLOCKS:
+        return None
+    entries = sorted(tuple(r) for r in directory.collect())
+    shared = spark.sparkContext.broadcast((entries, [r[0] for r in entries]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, firsts = shared.value
+        for b in batches:
+            keys, blocks = [], []
+            for key in {url_key(u) for u in b.column("url").to_pylist()}:
+                at = max(0, bisect.bisect_left(firsts, key) - 1)
+                while at < len(firsts) and firsts[at] <= key:
+                    keys.append(key)
+                    blocks.append(at)
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(blocks, pa.int64())], ["key", "block"])
+
+    def in_block(table: pa.Table) -> pa.Table:
+        _, file, offset, length = shared.value[0][table.column("block")[0].as_py()]
+        with _open(file) as f:
+            lines = zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")
+        keys, rows = [x.split("\t", 1)[0] for x in lines], []
+        for key in table.column("key").to_pylist():
+            rows += [x.split("\t")[2:5] for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+        return pa.table({"file": pa.array([r[0] for r in rows], pa.string()), "offset": pa.array([int(r[1]) for r in rows], pa.int64()), "length": pa.array([int(r[2]) for r in rows], pa.int64())})
+
+    types = {"payload": pa.binary(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
+    names = [x.split(" ")[0] for x in RECORD.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, start, end, at in ranges(list(zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length"))))):
+                with _open(file) as f:
+                    view = memoryview(f.read_at(end - start, start))
+                rows = [parse_record(zlib.decompress(view[o - start : o - start + n], 31)) for o, n in at]
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in names})
+
+    bounded_batches(spark)
+    asked = urls.select("url").distinct().mapInArrow(find, "key string, block long").distinct()
+    places = settle(asked.groupBy("block").applyInArrow(in_block, "file string, offset long, length long"), "places")
+    dealt = places.repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(read, RECORD)
+
+
 def archive(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Write the pages to archives in shared storage, index them, and read every record back through the index."""
+    """Write the pages to archives in shared storage, index them, and look every url up in the index.
+
+    Where executors cannot read ranges of the shared store, or the directory is too large to broadcast, the archives
+    are scanned whole and cut at the places the index has.
+    """
     spark = pages.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
     write_archives(pages, archives, least)
     write_index(spark, archives, index)
-    return read_records(spark, index, archives)
-
-
+    found = lookup(spark, index, pages) if range_readable(spark, index) else None
+    return read_records(spark, index, archives) if found is None else found
