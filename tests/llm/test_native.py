@@ -201,20 +201,19 @@ def test_decontamination(spark, texts, monkeypatch, limit):
 
 
 def _sigs(t):
+    """Each anchor with the next content words; content words that no anchor covers are starts."""
     common, out = set(spotsigs.COMMON), set()
     ws = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    marks = [("", 0), *((w, i + 1) for i, w in enumerate(ws) if w in common)]
-    for a, i in marks:
-        chain, seen = [], 0
-        for w in ws[i:]:
-            if w in common:
-                seen += 1
-                if seen >= spotsigs.REACH:
-                    break
-            elif len(chain) < spotsigs.CHAIN:
-                chain.append(w)
-        if chain:
-            out.add((a, " ".join(chain)))
+    content = [i for i, w in enumerate(ws) if w not in common]
+    covered = set()
+    for i, w in enumerate(ws):
+        chain = [k for k in content if k > i][: spotsigs.CHAIN]
+        if w in common and chain:
+            out.add((w, " ".join(ws[k] for k in chain)))
+            covered |= set(chain)
+    for n, k in enumerate(content):
+        if k not in covered or n == 0:
+            out.add(("", " ".join(ws[c] for c in content[n : n + spotsigs.CHAIN])))
     return out
 
 
@@ -273,23 +272,6 @@ def test_splitters_are_exact_beside_a_long_document(spark):
         assert abs(sum(n for x, n in zip(rows, sizes) if x < cut) - goal) <= max(nearest, 0.002 * total / 4)
 
 
-def _whole(t):
-    """Each anchor with the next content words; content words that no anchor covers are starts."""
-    common, out = set(spotsigs.COMMON), set()
-    ws = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    content = [i for i, w in enumerate(ws) if w not in common]
-    covered = set()
-    for i, w in enumerate(ws):
-        chain = [k for k in content if k > i][: spotsigs.CHAIN]
-        if w in common and chain:
-            out.add((w, " ".join(ws[k] for k in chain)))
-            covered |= set(chain)
-    for n, k in enumerate(content):
-        if k not in covered or n == 0:
-            out.add(("", " ".join(ws[c] for c in content[n : n + spotsigs.CHAIN])))
-    return out
-
-
 def test_spotsigs_of_the_query_see_whole_texts(spark, tmp_path):
     rng = random.Random(8)
     plain = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
@@ -298,8 +280,8 @@ def test_spotsigs_of_the_query_see_whole_texts(spark, tmp_path):
     vocab = ["the", "of", "and", "und", "de", *(f"w{i}" for i in range(12))]
     texts += [" ".join(rng.choices(vocab, k=rng.randrange(1, 90))) for _ in range(40)]
     df = _docs(spark, texts)
-    got = dict(df.select("doc_id", spotsigs.whole_signatures(F.col("text"))).collect())
-    assert {i: len(s) for i, s in got.items()} == {i: len(_whole(t)) for i, t in enumerate(texts)}
+    got = dict(df.select("doc_id", spotsigs.signatures(F.col("text"))).collect())
+    assert {i: len(s) for i, s in got.items()} == {i: len(_sigs(t)) for i, t in enumerate(texts)}
     df.write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r for r in queries()["op9_spotsigs"](spark, str(tmp_path)).collect()}
     assert rows[0]["fingerprint"] != rows[1]["fingerprint"]
@@ -307,7 +289,7 @@ def test_spotsigs_of_the_query_see_whole_texts(spark, tmp_path):
         t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
         half = len(t) // 2
         for other, name in ((t[: len(t) - half] + nxt[:half], "near_edited"), (nxt, "near_next")):
-            a, b = _whole(t), _whole(other)
+            a, b = _sigs(t), _sigs(other)
             assert rows[i][name] == pytest.approx(len(a & b) / len(a | b) if a or b else 1.0)
     assert rows[9]["near_edited"] < 0.6
 

@@ -46,6 +46,10 @@ def windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return one.select("item_id", F.size("_w").alias("len"), F.xxhash64(F.transform("_w", lambda w: F.xxhash64(w))).alias("hash"), F.array_join("_w", " ").alias("window")).distinct()
 
 
+def _window(ws: Column, at: Column) -> Column:
+    return F.array_join(F.slice(ws, at["at"], at["len"]), " ")
+
+
 def _salt(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("_salt")
 
@@ -64,7 +68,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def contaminated_texts(keyed: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame | None:
     """(_th2, _items, _spans): one row for each distinct text with a verified hit; None if the benchmark has no window."""
-    grams = windows(benchmark, n).persist()
+    grams = settle(windows(benchmark, n), "grams")
     lens = sorted(r[0] for r in grams.select("len").distinct().collect())
     if not lens:
         return None
@@ -73,18 +77,28 @@ def contaminated_texts(keyed: DataFrame, benchmark: DataFrame, n: int = 10) -> D
     known = [r[0] for r in grams.select("hash").distinct().collect()] if small else []
 
     def found(ws: Column) -> Column:
+        """Windows of the text, in order: hash, place and length; of a small set only those with a known hash, with their words."""
         each = []
         for size in lens:
             at = F.transform(_hashes(ws, size), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"), F.lit(size).alias("len")))
-            at = F.filter(at, lambda x: x["h"].isin(known)) if small else at
-            each.append(F.transform(at, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice(ws, x["at"], x["len"]), " ").alias("w"))))
-        empty = F.array().cast("array<struct<h:bigint,at:int,len:int,w:string>>")
-        return F.concat(*[F.coalesce(e, empty) for e in each])
+            if small:
+                at = F.transform(F.filter(at, lambda x: x["h"].isin(known)), lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["len"].alias("len"), _window(ws, x).alias("w")))
+            each.append(F.coalesce(at, F.array().cast(f"array<struct<h:bigint,at:int,len:int{',w:string' if small else ''}>>")))
+        return F.concat(*each)
 
     # equal texts (a large group of copies) are scanned alike and kept once
     scanned = keyed.select("_th", let(words(F.col("text")), found).alias("_found")).where(F.size("_found") > 0)
-    one = scanned.groupBy("_th").agg(F.first("_found").alias("_found")).select("_th", F.explode("_found").alias("_f"))
-    verified = one.join(F.broadcast(grams) if small else grams, (F.col("_f.h") == F.col("hash")) & (F.col("_f.w") == F.col("window"))).select("_th", "item_id", F.col("_f.at").alias("at"), F.col("_f.len").alias("len"))
+    if small:
+        one = scanned.groupBy("_th").agg(F.first("_found").alias("_found")).select("_th", F.explode("_found").alias("_f"))
+        verified = one.join(F.broadcast(grams), (F.col("_f.h") == F.col("hash")) & (F.col("_f.w") == F.col("window"))).select("_th", "item_id", F.col("_f.at").alias("at"), F.col("_f.len").alias("len"))
+    else:
+        # only hashes meet; the words of the windows that meet are compared afterwards, text by text
+        met = scanned.select("_th", F.explode("_found").alias("_f")).join(grams, F.col("_f.h") == F.col("hash"))
+        met = settle(met.select("_th", F.struct("item_id", F.col("_f.at").alias("at"), F.col("_f.len").alias("len"), "window").alias("_m")).groupBy("_th").agg(F.collect_set("_m").alias("_met")), "met")
+        texts = keyed.join(met.select("_th"), "_th", "left_semi").groupBy("_th").agg(F.first("text").alias("text"))
+        sure = F.col("_met"), words(F.col("text"))
+        checked = let(sure[1], lambda ws: F.filter(sure[0], lambda m: _window(ws, m) == m["window"]))
+        verified = met.join(texts, "_th").select("_th", F.explode(checked).alias("_m")).select("_th", "_m.item_id", "_m.at", "_m.len")
     per_text = verified.groupBy("_th").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len") - 1).alias("end")))).alias("_raw"),

@@ -1,22 +1,19 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
-A text is lower-cased and cut into runs of letters and digits.  Every common word is an anchor,
-and so is the start of the text (so that any text with a content word has a signature); a
+A text is lower-cased and cut into runs of letters and digits.  Every common word is an anchor, and so is the
+start of the text and every content word that no anchor's chain covers, so signatures see the whole text; a
 signature is the anchor and the next two content words, further anchors skipped.
 Signatures are kept as sorted distinct 64-bit hashes.  Likeness is the Jaccard
 coefficient of two sets; `near_pairs` partitions the sets by length and compares
 only pairs whose lengths and rarest signatures allow the threshold.
 
 Defined results: null texts and texts without content words have no signatures; two such texts have
-likeness 1 if both are empty of signatures, else 0.  `signatures` sees anchored chains only, at most REACH
-segments long; `whole_signatures`, which the query uses, sees the whole text.  Repeated doc_ids are ordered by
-text.  Other columns are ignored.  Native DataFrame code only.
+likeness 1 if both are empty of signatures, else 0.  Repeated doc_ids are ordered by
+text; rows without a doc_id come first.  Other columns are ignored.  Native DataFrame code only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +29,7 @@ aber als am auch auf aus bei das dem den der des die du ein eine einem einen ein
 noch sich sie sind so über um und von war wie wir zu zum zur
 al como con del el ella ellos era esta este fue la las lo los más mi muy no nos o para pero por que se si sin su sus un una y ya""".split()
 CHAIN = 2
-#: Segments joined to find a chain: enough for CHAIN content words unless that many anchors stand in a row.
-REACH = 4
-#: In whole_signatures: content words that one anchor covers; further ones are starts of their own.
+#: Content words that one anchor covers; further ones are starts of their own.
 GAP = CHAIN
 #: Rows that one lead window holds, about.
 ROWS_PER_RANGE = 2000
@@ -43,23 +38,6 @@ BROADCAST_ROWS = 500_000
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes of a text (array of long)."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    common = sorted(set(COMMON))
-    marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(w.isin(common), F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(w)), " ")
-    # each segment: "anchor\t words up to the next anchor"; the first has the empty anchor
-    segments = F.split(F.concat(F.lit("\t "), marked), "\n")
-
-    def chains(segs: Column) -> Column:
-        anchors = F.transform(segs, lambda s: F.substring_index(s, "\t", 1))
-        rest = F.transform(segs, lambda s: F.trim(F.substring_index(s, "\t", -1)))
-        return let(rest, lambda r: let(anchors, lambda a: F.transform(a, lambda x, i: F.struct(x.alias("a"), F.substring_index(F.array_join(F.filter(F.slice(r, i + 1, REACH), lambda c: c != ""), " "), " ", CHAIN).alias("c")))))
-
-    found = F.filter(let(segments, chains), lambda x: x["c"] != "")
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x["a"], x["c"]))))
-
-
-def whole_signatures(text: Column) -> Column:
     """Sorted distinct signature hashes over the whole length of a text (array of long).
 
     Every anchor takes the next CHAIN content words however many anchors stand between.  The first content word and
@@ -137,14 +115,14 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def compare_with_next(docs: DataFrame, signed: Callable[[Column], Column] = signatures) -> DataFrame:
-    """doc_id, n_chars, edited_text, sigs, edited_sigs, near_edited, near_next for every document; `signed` makes the signatures."""
+def compare_with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_text, sigs, edited_sigs, near_edited, near_next for every document."""
     led = with_next(docs)
     order = Window.partitionBy("_range").orderBy("_ghost", "doc_id", "text")
     if "_range" not in led.columns:
         led = led.withColumn("_range", F.lit(0)).withColumn("_ghost", F.lit(0))
-    one = led.withColumn("sigs", signed(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order)).where(F.col("_ghost") == 0)
-    two = one.withColumn("edited_text", edited(F.col("text"), F.coalesce("next_text", "text"))).withColumn("edited_sigs", signed(F.col("edited_text")))
+    one = led.withColumn("sigs", signatures(F.col("text"))).withColumn("next_sigs", F.lead("sigs").over(order)).where(F.col("_ghost") == 0)
+    two = one.withColumn("edited_text", edited(F.col("text"), F.coalesce("next_text", "text"))).withColumn("edited_sigs", signatures(F.col("edited_text")))
     return two.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_text", "sigs", "edited_sigs", likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.coalesce("next_sigs", "sigs")).alias("near_next"))
 
 

@@ -29,13 +29,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinreel.llm.common import bounded_batches, new_path, settle
+from twinreel.llm.common import bounded_batches, new_path, parts_for, settle
 
 BLOCK_LINES = 3000
 #: Index blocks whose directory is broadcast at most (100 bytes or so each).
 BROADCAST_BLOCKS = 500_000
 #: Ranges this near to each other are read at once, up to so many bytes; records of one such stretch of an archive go to one task.
-GAP, READ, STRETCH = 1 << 16, 8 << 20, 64 << 20
+GAP, READ, STRETCH = 1 << 16, 8 << 20, 1 << 20
 #: Copies of one payload are dealt over this many keys where they meet their response.
 SALTS = 32
 #: Payloads with copies that are broadcast at most (a digest and an id each), and captures whose places are (16 bytes each).
@@ -331,7 +331,9 @@ def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame | None
     bounded_batches(spark)
     asked = urls.select("url").distinct().mapInArrow(find, "key string, block long").distinct()
     places = settle(asked.groupBy("block").applyInArrow(in_block, "file string, offset long, length long"), "places")
-    dealt = places.repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    # a place is a few bytes, the record behind it thousands: tasks by what they will read
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = places.repartition(parts_for(size, READ), "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, RECORD)
 
 
