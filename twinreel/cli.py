@@ -15,11 +15,13 @@ from twinreel.operators import dispose as disposal
 from twinreel.operators import report as reporting
 from twinreel.operators import samples as sampling
 from twinreel.operators import stats
-from twinreel.operators.cache import Cache
+from twinreel.operators.cache import Cache, lookup, prune_obstacle
 from twinreel.operators.coverage import check_knobs
 from twinreel.plans.api import Result, find_duplicates
+from twinreel.plans.storage import settle
 from twinreel.sources import files, reports
 from twinreel.sources.decoders import fingerprint
+from twinreel.streaming.ingest import entries, frames_of
 
 
 def parser() -> argparse.ArgumentParser:
@@ -68,15 +70,37 @@ def media_and_samples(frames: DataFrame, interval: float, min_keyframes: float)
     return media, spans.select("media_id", "idx", "hash", "t_start", "t_end")
 
 
-def scan(spark: SparkSession, args: argparse.Namespace) -> tuple[Result | None, DataFrame | None, files.Library]:
+def decoded(spark: SparkSession, paths: list[str], cache: Cache | None, args: argparse.Namespace) -> DataFrame:
+    """The frames of the files; with a cache, only files that it does not know as they are now are opened."""
+
+    def load(some: list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load(some).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+
+    if cache is None:
+        return settle(fingerprint(load(paths)), "frames")
+    known = cache.read()
+    missing = paths
+    if known is not None:
+        # the stamps come from the listing; contents are not read
+        now = load(paths).select(
+            "path", F.unix_seconds("modificationTime").alias("mtime"), (F.unix_micros("modificationTime") % 1_000_000 * 1000).alias("mtime_nsec"), F.col("length").alias("size"),
+            F.lit(args.keyframe_interval).alias("kf_interval"), F.lit(args.min_keyframes).alias("min_kf_samples"),
+        )
+        missing = [r["path"] for r in lookup(now, known).where("status = 'miss'").select("path").toLocalIterator()]
+    if missing:
+        cache.upsert(settle(entries(load(missing), args.keyframe_interval, args.min_keyframes), "entries"))
+    wanted = spark.createDataFrame([(p,) for p in paths], "path string")
+    return settle(frames_of(cache.read().join(wanted, "path", "left_semi")), "frames")
+
+
+def scan(spark: SparkSession, args: argparse.Namespace, cache: Cache | None = None) -> tuple[Result | None, DataFrame | None, files.Library]:
     wanted = files.normalize_extensions(args.extensions) if args.extensions else list(files.EXTENSIONS) + ["y4m", "pgm"]
     library = files.collect(files.requested_paths(args.paths, args.from_file, args.null), args.recursive, wanted, args.exclude, args.follow_symlinks)
     if args.move_to and files.walk_reaches(library.roots, os.path.realpath(args.move_to), map(os.path.realpath, args.exclude)):
         raise ValueError("the destination is inside a scanned folder")
     if not library.files:
         return None, None, library
-    found = spark.read.format("binaryFile").load([f[0] for f in library.files]).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    frames = fingerprint(found).persist()
+    frames = decoded(spark, [f[0] for f in library.files], cache, args)
     problems = frames.where("problem IS NOT NULL").select(F.lit("unusable file").alias("category"), F.monotonically_increasing_id().alias("seq"), F.concat_ws(": ", "path", "problem").alias("detail"))
     media, samples = media_and_samples(frames, args.keyframe_interval, args.min_keyframes)
     return find_duplicates(media, samples, args.distance, args.percent, args.min_duration, args.priority), problems, library
@@ -89,6 +113,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as e:
         print(e, file=sys.stderr)
         return stats.EXIT_FAILED
+    if args.output:
+        try:
+            reporting.check_output(args.output)
+        except OSError as e:
+            print(e, file=sys.stderr)
+            return stats.EXIT_FAILED
     how = disposal.disposal_for(args.delete, args.permanent, args.move_to)
     if spark is None:
         spark = SparkSession.builder.master(f"local[{args.threads or '*'}]").appName("twinreel").getOrCreate()
@@ -102,7 +132,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return stats.EXIT_FAILED
         _, tally = disposal.dispose(targets, how)
         return stats.exit_code(rows.where("verdict = 'unusable'").count() + tally["FAILED"] + tally["CHANGED"])
-    result, problems, library = scan(spark, args)
+    result, problems, library = scan(spark, args, cache)
+    if cache and args.prune_cache:
+        obstacle = prune_obstacle(library.problems, len(library.files))
+        if obstacle:
+            print(f"cache not pruned: {obstacle}", file=sys.stderr)
+        else:
+            cache.prune(spark.createDataFrame([(f[0],) for f in library.files], "path string"))
     trouble = sum(library.problems.values())
     if result is None:
         if args.output:
