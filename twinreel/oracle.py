@@ -254,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "cache_lookup": w(f"{_stamps('y', 3)},{_stamps('x', 0)}", f""", en AS (SELECT x.*, CASE o_orderkey % 6 WHEN 0 THEN 'refused' WHEN 1 THEN 'short' ELSE 'media' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 9 END AS samples, o_orderkey % 50 AS d FROM x WHERE o_orderkey % 5 <> 0)
             SELECT y.path, CASE WHEN kind = 'media' THEN CASE WHEN samples > 0 THEN CASE WHEN d > 0 AND d < 10 THEN 'short' ELSE 'hit' END ELSE 'miss' END
               WHEN kind = 'refused' THEN 'refused' WHEN kind = 'short' AND d > 0 AND d < 10 THEN 'short' ELSE 'miss' END AS status FROM y LEFT JOIN en x ON x.path = y.path AND {_SAME}"""),
-        "cache_prune": "SELECT '/c/' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "cache_prune": "SELECT '/c/' || c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')",
         "stamp_match": w(f"{_stamps('y', 3)},{_stamps('x', 0)}", f"SELECT y.path, {_SAME} AS same FROM x JOIN y USING (path)"),
         "tally_top20": """WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)
             SELECT event_type AS category, count(*) AS count, string_agg('event ' || event_id, ';' ORDER BY event_id) FILTER (n <= 20) AS samples FROM r GROUP BY 1""",

@@ -348,7 +348,9 @@ def cache_lookup(spark, d):
 
 @query
 def cache_prune(spark, d):
-    o = t.table(spark, d, "orders").select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("path"))
+    # the scan found the files of customers with an urgent order
+    some = t.table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
+    o = some.select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("path"))
     c = t.table(spark, d, "customer").select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"))
     return cache.stale(c, o)
 
