@@ -52,7 +52,7 @@ _COVER = f"""{_MARKS},
 PARTS = f"""
  pm AS (SELECT p_partkey AS media_id, '/' || p_brand || '/' || p_partkey AS path, substr(p_type, 1, 4) AS codec, 60.0::DOUBLE + (p_partkey % 7) * 0.4::DOUBLE AS duration,
    p_size * 16 AS width, p_size * 9 AS height, floor(p_retailprice * 1000)::BIGINT AS file_size, {_RATE.format(k="p_partkey")} AS frame_rate FROM part),
- pf AS (SELECT *, width::BIGINT * height AS resolution, trunc(file_size * 8.0::DOUBLE / duration)::BIGINT AS bitrate FROM pm),
+ pf AS (SELECT *, width::BIGINT * height AS resolution, CASE WHEN duration > 0 THEN trunc(file_size * 8.0::DOUBLE / duration)::BIGINT ELSE 0 END AS bitrate FROM pm),
  pq AS (SELECT *, trunc(bitrate / frame_rate)::BIGINT AS quality FROM pf),
  pu AS (SELECT p_partkey % 200 + 1 AS group_no, p_partkey AS media_id, '/' || p_brand || '/' || p_partkey AS path FROM part
    UNION ALL SELECT p_partkey % 50 + 201, p_partkey, '/' || p_brand || '/' || p_partkey FROM part WHERE p_partkey % 3 = 0),
@@ -63,9 +63,9 @@ _VALUES = {"length": "floor(duration * 1000)", "resolution": "resolution", "qual
 
 
 def _tiers(source: str, keys: str) -> str:
-    return f"""(SELECT *, (duration >= max_duration - 1.0)::INTEGER AS tier_length,
+    return f"""(SELECT *, (duration <= 0 OR duration >= max_duration - 1.0)::INTEGER AS tier_length,
    CASE WHEN max_resolution = 0 THEN 1 ELSE (resolution >= max_resolution * 0.95::DOUBLE)::INTEGER END AS tier_resolution,
-   CASE WHEN max_quality = 0 THEN 1 ELSE (quality >= max_quality * 0.95::DOUBLE)::INTEGER END AS tier_quality,
+   CASE WHEN max_quality = 0 OR frame_rate <= 0 OR duration <= 0 THEN 1 ELSE (quality >= max_quality * 0.95::DOUBLE)::INTEGER END AS tier_quality,
    CASE WHEN max_size = 0 THEN 1 ELSE (file_size >= max_size * 0.95::DOUBLE)::INTEGER END AS tier_size
    FROM (SELECT *, max(duration) OVER (PARTITION BY {keys}) AS max_duration, max(resolution) OVER (PARTITION BY {keys}) AS max_resolution,
      max(quality) OVER (PARTITION BY {keys}, codec) AS max_quality, max(file_size) OVER (PARTITION BY {keys}, codec) AS max_size FROM {source}))"""
@@ -80,37 +80,94 @@ def _best(tiered: str, keys: str, priority: str) -> str:
     return f"(SELECT {keys}, media_id AS best FROM {tiered} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {_order(priority)}) = 1)"
 
 
+def _fold(tiered: str, keys: str, priority: str) -> str:
+    """The best of each group where figures are unknown: members folded in path order, a later one wins if it is better."""
+    order = [priority, *(m for m in K.METRICS if m != priority)]
+    timed = "x.duration > 0 AND a.duration > 0"
+    able = {"length": timed, "resolution": "true", "quality": f"{timed} AND x.frame_rate > 0 AND a.frame_rate > 0", "size": "true"}
+    pair = {
+        "length": ("floor(x.duration * 1000)", "floor(a.duration * 1000)"), "resolution": ("x.resolution", "a.resolution"),
+        "quality": ("x.quality::HUGEINT * a.max_quality", "a.quality::HUGEINT * x.max_quality"), "size": ("x.file_size::HUGEINT * a.max_size", "a.file_size::HUGEINT * x.max_size"),
+    }
+    tests = [f"WHEN x.tier_{m} <> a.tier_{m} THEN x.tier_{m} > a.tier_{m}" for m in order] + [f"WHEN {able[m]} AND {pair[m][0]} <> {pair[m][1]} THEN {pair[m][0]} > {pair[m][1]}" for m in order]
+    fields = ", ".join(["path", "media_id", "duration", "frame_rate", "resolution", "quality", "file_size", "max_quality", "max_size", *(f"tier_{m}" for m in K.METRICS)])
+    packed = f"struct_pack({', '.join(f'{c} := {c}' for c in fields.split(', '))})"
+    return f"""(SELECT {keys}, list_reduce(list({packed} ORDER BY path, media_id), lambda a, x: CASE WHEN (CASE {" ".join(tests)} ELSE x.path < a.path END) THEN x ELSE a END).media_id AS best
+   FROM {tiered} GROUP BY {keys})"""
+
+
 _BASE = "group_no, pos, media_id, path, codec, duration, width, height, file_size, frame_rate, resolution, bitrate, quality"
 
 
-def _decide(priority: str) -> str:
+def _decide(priority: str, members: str = PARTS, best=_best) -> str:
+    """Fates of the `mem` that `members` defines; unknown runtimes need `_fold`."""
     wanted = [m for m in K.REVIEW_METRICS if m != priority]
     short = " UNION ALL ".join(
-        f"SELECT k.group_no, {n} AS n, b.best AS media_id FROM kt k JOIN {_best('ti', 'group_no', m)} b USING (group_no) WHERE k.tier_{m} = 0 AND b.best <> k.keep" for n, m in enumerate(wanted)
+        f"SELECT k.group_no, {n} AS n, b.best AS media_id FROM kt k JOIN {best('ti', 'group_no', m)} b USING (group_no) WHERE k.tier_{m} = 0 AND b.best <> k.keep" for n, m in enumerate(wanted)
     )
-    return f"""{PARTS},
+    return f"""{members},
  ti AS {_tiers("mem", "group_no")},
- kp AS (SELECT group_no, best AS keep FROM {_best("ti", "group_no", priority)}),
+ kp AS (SELECT group_no, best AS keep FROM {best("ti", "group_no", priority)}),
  kt AS (SELECT kp.group_no, kp.keep, ti.* EXCLUDE (group_no) FROM kp JOIN ti ON ti.group_no = kp.group_no AND ti.media_id = kp.keep),
+ un AS (SELECT group_no, media_id FROM mem WHERE duration <= 0),
+ kn AS (SELECT {_BASE} FROM mem WHERE duration > 0 AND group_no IN (SELECT group_no FROM un)),
+ um AS (SELECT * FROM un UNION SELECT c.group_no, CASE WHEN kt.duration > 0 THEN kt.keep ELSE c.best END FROM {best(_tiers("kn", "group_no"), "group_no", priority)} c JOIN kt USING (group_no)),
  sf AS (SELECT group_no, min_by(media_id, n) AS media_id FROM ({short}) GROUP BY group_no),
  co AS (SELECT {_BASE} FROM ti WHERE tier_length = 1 AND tier_resolution = 1),
  so AS (SELECT group_no FROM co GROUP BY group_no HAVING count(DISTINCT codec) > 1),
  ri AS (SELECT co.* FROM co JOIN so USING (group_no)),
- rb AS {_best(_tiers("ri", "group_no, codec"), "group_no, codec", priority)},
+ rb AS {best(_tiers("ri", "group_no, codec"), "group_no, codec", priority)},
  ok AS (SELECT ri.group_no, ri.codec, keep FROM ri JOIN kp ON kp.group_no = ri.group_no AND kp.keep = ri.media_id),
  st AS (SELECT rb.group_no, coalesce(keep, best) AS media_id FROM rb LEFT JOIN ok USING (group_no, codec)),
- rv AS (SELECT * FROM sf UNION SELECT * FROM st),
+ rv AS (SELECT * FROM sf UNION SELECT * FROM st UNION SELECT * FROM um),
  dl AS (SELECT DISTINCT media_id FROM mem JOIN kp USING (group_no) WHERE media_id <> keep AND (group_no, media_id) NOT IN (SELECT (group_no, media_id) FROM rv)),
  ft AS (SELECT DISTINCT media_id, CASE WHEN media_id IN (SELECT media_id FROM rv) THEN 'REVIEW' WHEN media_id IN (SELECT media_id FROM dl) THEN 'DELETE' ELSE 'KEEP' END AS action FROM mem)"""
 
 
-LINKS = """
- lp AS (SELECT DISTINCT s.media_id AS subject, o.media_id AS other FROM pg s JOIN pg o ON s.group_no = o.group_no AND s.media_id <> o.media_id),
- lk AS (SELECT subject, other, (((subject * 7 + other * 3) % 100) / 128.0::DOUBLE)::FLOAT AS coverage, subject % 50 * 1000 AS start_ms, subject % 50 * 1000 + 5000 AS end_ms FROM lp),
+_TIMED = "60.0::DOUBLE + (p_partkey % 7) * 0.4::DOUBLE"
+#: The same parts, the runtime of one in 17 unknown.
+PARTS_UNMEASURED = PARTS.replace(_TIMED, f"CASE WHEN p_partkey % 17 = 0 THEN 0.0::DOUBLE ELSE {_TIMED} END")
+
+#: Maximal cliques of the matches: partial cliques c, the nodes p that extend one and the nodes x that were tried before, grown one node
+#: at a time; only what the node with the most neighbours in p does not reach is tried.
+CLIQUES = f"""{_COVER},
+ ed AS (SELECT a, b FROM mt UNION SELECT b, a FROM mt),
+ rc AS (SELECT a AS node, a AS other FROM ed UNION SELECT rc.node, ed.b FROM rc JOIN ed ON ed.a = rc.other),
+ cm AS (SELECT node, min(other) AS component FROM rc GROUP BY node),
+ aj AS MATERIALIZED (SELECT a AS node, list(b) AS near FROM ed GROUP BY a),
+ bk AS (SELECT component, []::BIGINT[] AS c, list(node ORDER BY node) AS p, []::BIGINT[] AS x FROM cm GROUP BY component
+   UNION ALL
+   SELECT s.component, list_append(s.c, v), list_filter(s.p, lambda y: list_contains(w.near, y) AND NOT list_contains(s.todo[1:i], y)),
+     list_filter(list_concat(s.x, s.todo[1:i - 1]), lambda y: list_contains(w.near, y))
+   FROM (SELECT component, c, any_value(p) AS p, any_value(x) AS x, list_filter(any_value(p), lambda y: NOT list_contains(arg_max(near, len(list_intersect(p, near))), y)) AS todo
+     FROM (SELECT component, c, p, x, unnest(list_concat(p, x)) AS u FROM bk WHERE len(p) > 0) o JOIN aj ON aj.node = o.u GROUP BY component, c) s,
+     unnest(s.todo) WITH ORDINALITY AS t(v, i) JOIN aj w ON w.node = t.v),
+ cq AS (SELECT component, list_sort(c) AS members FROM bk WHERE len(p) = 0 AND len(x) = 0 AND len(c) > 1)"""
+
+GROUPS = f"""{CLIQUES},
+ pm AS (SELECT doc_id AS media_id, path, coalesce(codec, '') AS codec, duration, (640 * (1 + doc_id % 3))::INTEGER AS width, (360 * (1 + doc_id % 3))::INTEGER AS height, strlen(text)::BIGINT AS file_size, frame_rate
+   FROM media JOIN documents ON doc_id = media_id),
+ pf AS (SELECT *, width::BIGINT * height AS resolution, CASE WHEN duration > 0 THEN trunc(file_size * 8.0::DOUBLE / duration)::BIGINT ELSE 0 END AS bitrate FROM pm),
+ pq AS (SELECT *, trunc(bitrate / frame_rate)::BIGINT AS quality FROM pf),
+ cp AS (SELECT members, list(path ORDER BY path) AS paths, list(media_id ORDER BY path, media_id) AS ids FROM (SELECT members, unnest(members) AS media_id FROM cq) JOIN pm USING (media_id) GROUP BY members),
+ gn AS (SELECT ids, row_number() OVER (ORDER BY len(ids) DESC, paths) AS group_no FROM cp),
+ pg AS (SELECT group_no, ids[k] AS media_id, (k - 1)::INTEGER AS pos FROM gn, unnest(range(1, len(ids) + 1)) AS t(k)),
+ mem AS (SELECT group_no, pos, pq.* FROM pg JOIN pq USING (media_id))"""
+
+
+_RANKED = """
  gl AS (SELECT s.group_no, subject, other, y.path AS other_path, coverage::DOUBLE * x.duration AS matched_seconds, start_ms, end_ms,
    row_number() OVER (PARTITION BY s.group_no, subject ORDER BY coverage::DOUBLE * x.duration DESC, y.path) AS rank
    FROM lk JOIN pg s ON s.media_id = subject JOIN pg o ON o.media_id = other AND o.group_no = s.group_no JOIN pm x ON x.media_id = subject JOIN pm y ON y.media_id = other)"""
 
+LINKS = f"""
+ lp AS (SELECT DISTINCT s.media_id AS subject, o.media_id AS other FROM pg s JOIN pg o ON s.group_no = o.group_no AND s.media_id <> o.media_id),
+ lk AS (SELECT subject, other, (((subject * 7 + other * 3) % 100) / 128.0::DOUBLE)::FLOAT AS coverage, subject % 50 * 1000 AS start_ms, subject % 50 * 1000 + 5000 AS end_ms FROM lp),{_RANKED}"""
+
+#: The matches, seen from both sides.
+MATCH_LINKS = f"""
+ lk AS (SELECT a AS subject, b AS other, coverage_a AS coverage, start_a AS start_ms, end_a AS end_ms FROM mt UNION ALL SELECT b, a, coverage_b, start_b, end_b FROM mt),{_RANKED}"""
+
 
 def _size(b: str) -> str:
     return f"CASE WHEN {b} >= 1073741824 THEN printf('%.1fGB', {b} / 1073741824.0::DOUBLE) WHEN {b} >= 1048576 THEN printf('%.1fMB', {b} / 1048576.0::DOUBLE) WHEN {b} >= 1024 THEN printf('%.1fKB', {b} / 1024.0::DOUBLE) ELSE {b} || 'B' END"
@@ -169,7 +226,10 @@ _JOBS = """
    CASE WHEN du > 0 THEN least(n, greatest(ceil(du / least(10.0::DOUBLE, du / 12.0::DOUBLE)), 1)) ELSE n END AS m FROM jk)"""
 
 
-def _report_cells() -> str:
+_PART_COUNTS = "SELECT l_partkey AS media_id, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+def _report_cells(counts: str = _PART_COUNTS) -> str:
     return f"""SELECT m.group_no, m.pos, action, m.path AS full_path, {_duration("duration")} AS length, printf('%.2f', duration) AS length_seconds, width || 'x' || height AS resolution,
    width::VARCHAR AS width, height::VARCHAR AS height, CASE WHEN frame_rate = floor(frame_rate) THEN floor(frame_rate)::BIGINT::VARCHAR ELSE (floor(frame_rate * 1000 + 0.5) / 1000)::VARCHAR END AS framerate_fps,
    codec, {_size("file_size")} AS size, file_size::VARCHAR AS size_bytes, {_bitrate("bitrate")} AS bitrate, bitrate::VARCHAR AS bitrate_bps, {_quality("quality")} AS quality,
@@ -177,7 +237,7 @@ def _report_cells() -> str:
    coalesce(printf('%.2f', matched_seconds), '') AS matched_seconds, coalesce({_duration("start_ms / 1000.0::DOUBLE")}, '') AS matched_from, coalesce({_duration("end_ms / 1000.0::DOUBLE")}, '') AS matched_to,
    coalesce(printf('%.2f', start_ms / 1000.0::DOUBLE), '') AS matched_from_seconds, coalesce(printf('%.2f', end_ms / 1000.0::DOUBLE), '') AS matched_to_seconds
    FROM mem m JOIN ft USING (media_id) LEFT JOIN (SELECT * FROM gl WHERE rank = 1) g ON g.group_no = m.group_no AND g.subject = m.media_id
-   LEFT JOIN (SELECT l_partkey AS media_id, count(*) AS n FROM lineitem GROUP BY 1) c ON c.media_id = m.media_id"""
+   LEFT JOIN ({counts}) c ON c.media_id = m.media_id"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -208,6 +268,16 @@ def oracle_sql() -> dict[str, str]:
         "witness_counts": w(f"{SAMPLES},{_pairs(10)},{_ELIGIBLE}", "SELECT a, b, i, j, eligible FROM el"),
         "corroborated_q1": w(_MARKS, "SELECT a, b, i, j FROM mk"),
         "corroborated_q2": w(f"{SAMPLES},{_pairs(15)},{_ELIGIBLE}", "SELECT a, b, i, j FROM el WHERE dist <= 9 OR (dist <= 12 AND eligible >= 1) OR (wi >= 2 AND wj >= 2)"),
+        # three disjoint witnesses exist unless two samples meet all eligible ones: two of one side, or one of either
+        "corroborated_q3plus": w(f"{SAMPLES},{_pairs(18)},{_ELIGIBLE}", """,
+            es AS (SELECT x.a, x.b, x.i, x.j, x.dist, list(struct_pack(i := w.i, j := w.j)) AS e FROM el x JOIN fx t USING (a, b, i, j) JOIN fx w
+              ON w.a = x.a AND w.b = x.b AND abs(w."offset" - t."offset") <= 500 AND w.i <> x.i AND w.j <> x.j WHERE x.dist >= 16 AND x.wi >= 3 AND x.wj >= 3 GROUP BY ALL)
+            SELECT a, b, i, j FROM el WHERE dist <= 12 OR (dist <= 15 AND wi >= 2 AND wj >= 2)
+            UNION ALL SELECT a, b, i, j FROM es WHERE list_bool_and(list_transform(list_distinct(list_transform(e, lambda y: y.i)),
+              lambda i0: len(list_distinct(list_transform(list_filter(e, lambda y: y.i <> i0), lambda y: y.j))) >= 2))"""),
+        "maximal_cliques": "WITH RECURSIVE" + CLIQUES + " SELECT component, array_to_string(members, ',') AS members, NULL::VARCHAR AS problem FROM cq",
+        "group_order": "WITH RECURSIVE" + GROUPS + " SELECT group_no, media_id, pos FROM pg",
+        "duplicate_report": "WITH RECURSIVE" + _decide("length", GROUPS) + f",{MATCH_LINKS}\n{_report_cells('SELECT media_id, count(*) AS n FROM samples GROUP BY 1')}".replace("SELECT m.group_no, m.pos,", "SELECT m.group_no, 'group_' || m.group_no AS \"group\", m.pos,"),
         "coverage": w(_COVER, "SELECT a, b, ms_a, ms_b, round(coverage_a::DOUBLE, 6) AS coverage_a, round(coverage_b::DOUBLE, 6) AS coverage_b FROM cv"),
         "span_envelope": w(_COVER, "SELECT a, b, start_a, end_a, start_b, end_b FROM cv"),
         "match_gate": w(_COVER, "SELECT a, b FROM mt"),
@@ -222,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "codec_standoff": w(_decide("length"), "SELECT DISTINCT group_no, media_id FROM st"),
         "metric_shortfall": w(_decide("size"), "SELECT group_no, media_id FROM sf"),
         "fates": w(_decide("length"), "SELECT media_id, action FROM ft"),
+        "unmeasured_review": w(_decide("length", PARTS_UNMEASURED, _fold), "SELECT DISTINCT group_no, media_id FROM um"),
+        "fates_unmeasured": w(_decide("length", PARTS_UNMEASURED, _fold), "SELECT media_id, action FROM ft"),
         "reclaimable": w(_decide("length"), """SELECT (SELECT count(DISTINCT group_no) FROM mem) AS groups, count(*) AS files, count(*) FILTER (action = 'DELETE') AS delete_count,
             coalesce(sum(file_size) FILTER (action = 'DELETE'), 0)::BIGINT AS reclaimable_bytes FROM ft JOIN pm USING (media_id)"""),
         "strongest_link": w(f"{PARTS},{LINKS}", "SELECT group_no, subject, other, round(matched_seconds, 4) AS matched_seconds FROM gl WHERE rank = 1"),
