@@ -130,17 +130,27 @@ def test_report_round_trip(spark, tmp_path):
     links = spark.createDataFrame([(1, 2, 0.5, (1000, 31000)), (2, 1, 1.0, (0, 60000))], "subject long, other long, coverage float, span struct<start_ms long, end_ms long>")
     media = m.drop("group_no", "pos")
     samples = spark.createDataFrame([(1,), (1,), (2,)], "media_id long")
-    out = report.report_rows(m, report.group_links(m.select("group_no", "media_id"), links, media), fates, samples).cache()
+    linked = report.group_links(m.select("group_no", "media_id"), links, media)
+    detail = report.described(m, linked, fates, samples).cache()
+    out, groups, found = report.text_rows(detail), report.json_groups(detail, linked), report.summary(decide.reclaimable(m, fates).first())
     text = "".join(report.csv_text(out))
     head, first, *_ = csv.reader(io.StringIO(text), delimiter=";")
     assert tuple(head) == K.REPORT_COLUMNS
     assert first == "group_1;KEEP;/fake/path/vid.mp4;00:01:00;60.00;1920x1080;1920;1080;30;h264;1.0MB;1048576;140kbps;139810;4.7kb/f;4660;".split(";")[:-1] + ['/fake/a "b"; c.mp4', "2", "30.00", "00:00:01", "00:00:31", "1.00", "31.00"]
     for kind in ("csv", "json"):
         path = str(tmp_path / f"r.{kind}")
-        report.write_report(out, path, m, fates)
+        report.write_report(out, path, None, groups, found)
         got = reports.verdicts(reports.read_report(spark, path)).where("verdict = 'delete'").collect()
         assert [(r["full_path"], int(r["bytes"])) for r in got] == [('/fake/a "b"; c.mp4', 1000)]
-    assert list(json.load(open(tmp_path / "r.json"))) == ["summary", "results"]
+    got = json.load(open(tmp_path / "r.json"))
+    assert list(got) == ["summary", "results"]
+    assert got["summary"] == found and len(found) == 14 and found["files_marked_delete"] == 1 and found["mode"] == "report"
+    (group,) = got["results"]
+    assert group["group"] == "group_1" and [f["size_bytes"] for f in group["files"]] == [1 << 20, 1000]
+    assert group["files"][0]["matches"] == [{"full_path": '/fake/a "b"; c.mp4', "matched_seconds": 30.0, "matched_from": "00:00:01", "matched_to": "00:00:31", "matched_from_seconds": 1.0, "matched_to_seconds": 31.0}]
+    assert list(group["files"][0]) == [*K.REPORT_COLUMNS[1:], "matches"]
+    none = "".join(report.json_text(groups.where("false"), found))
+    assert json.loads(none) == {"summary": found, "results": []}
     report.write_report(out, str(tmp_path / "r.txt"))
     assert (tmp_path / "r.txt").read_text().startswith("group_1:\n  KEEP     /fake/path/vid.mp4")
     assert report.format_for("x.CSV") == "csv"

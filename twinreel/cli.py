@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from twinreel.operators import samples as sampling
 from twinreel.operators import stats
 from twinreel.operators.cache import Cache, lookup, prune_obstacle
 from twinreel.operators.coverage import check_knobs
+from twinreel.operators.decide import reclaimable
 from twinreel.plans.api import Result, find_duplicates
 from twinreel.plans.storage import settle
 from twinreel.sources import files, reports
@@ -107,7 +109,7 @@ def scan(spark: SparkSession, args: argparse.Namespace, cache: Cache | None = No
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    args, began = parser().parse_args(argv), time.monotonic()
     try:
         check_knobs(args.distance, args.percent, args.min_duration, args.keyframe_interval, args.min_keyframes)
     except ValueError as e:
@@ -147,16 +149,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return stats.exit_code(trouble)
     tallied = stats.tally(problems.unionByName(result.problems))
     trouble += tallied.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    done = None
     if how is not None:
         doomed = result.members.join(result.fates.where("action = 'DELETE'"), "media_id").select("path", "file_size").distinct().orderBy("path")
         targets = [(r["path"], r["file_size"]) for r in doomed.toLocalIterator()]
         if disposal.approve(targets, how, interactive=sys.stdin.isatty(), assume_yes=args.yes):
-            outcomes, tally = disposal.dispose(targets, how)
-            trouble += tally["FAILED"] + tally["CHANGED"]
-            done = spark.createDataFrame(outcomes or [("", "")], "full_path string, outcome string")
-            result.report = result.report.join(done, "full_path", "left").withColumn("action", F.when(F.col("action") == "DELETE", F.coalesce("outcome", F.lit("SKIPPED"))).when(F.col("action") == "KEEP", "KEPT").otherwise(F.col("action"))).drop("outcome")
+            outcomes, done = disposal.dispose(targets, how)
+            trouble += done["FAILED"] + done["CHANGED"]
+            ended = spark.createDataFrame(outcomes or [("", "")], "path string, outcome string")
+            result.detail = result.detail.join(ended, "path", "left").withColumn("action", F.when(F.col("action") == "DELETE", F.coalesce("outcome", F.lit("SKIPPED"))).when(F.col("action") == "KEEP", "KEPT").otherwise(F.col("action"))).drop("outcome")
+            result.report = reporting.text_rows(result.detail)
     if args.output:
-        reporting.write_report(result.report, args.output, result.members, result.fates, args.format)
+        groups = found = None
+        if reporting.format_for(args.output, args.format) == "json":
+            groups = reporting.json_groups(result.detail, result.links)
+            found = reporting.summary(reclaimable(result.members, result.fates).first(), how.mode if done is not None else "report", how.to if done is not None and how.mode == "move" else None, done, int(time.monotonic() - began))
+        reporting.write_report(result.report, args.output, args.format, groups, found)
     elif not args.quiet:
         sys.stdout.writelines(reporting.listing_text(result.report))
     for line in [] if args.quiet else stats.summary_lines(tallied):

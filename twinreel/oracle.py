@@ -226,6 +226,15 @@ _JOBS = """
    CASE WHEN du > 0 THEN least(n, greatest(ceil(du / least(10.0::DOUBLE, du / 12.0::DOUBLE)), 1)) ELSE n END AS m FROM jk)"""
 
 
+def _two(x: str) -> str:
+    return f"floor({x} * 100 + 0.5) / 100"
+
+
+def _clock(side: str, prefix: str = "") -> str:
+    ends = (("from", f"{side}.start_ms / 1000.0::DOUBLE"), ("to", f"{side}.end_ms / 1000.0::DOUBLE"))
+    return ", ".join(f"{_duration(x)} AS {prefix}matched_{name}, {_two(x)} AS {prefix}matched_{name}_seconds" for name, x in ends)
+
+
 _PART_COUNTS = "SELECT l_partkey AS media_id, count(*) AS n FROM lineitem GROUP BY 1"
 
 
@@ -256,6 +265,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT media_id, seq, elapsed FROM r""",
         "collapse_runs": w(_CLOCK, """SELECT media_id, seq, event_type AS state, value > 10 AS valid FROM ev WINDOW x AS (PARTITION BY media_id ORDER BY seq)
             QUALIFY lag(event_type) OVER x IS NULL OR event_type <> lag(event_type) OVER x OR (value > 10) <> lag(value > 10) OVER x"""),
+        "drop_repeats": w(_CLOCK, "SELECT media_id, seq, event_type FROM ev WINDOW x AS (PARTITION BY media_id ORDER BY seq) QUALIFY lag(event_type) OVER x IS DISTINCT FROM event_type"),
+        "restarted_runtime": w(_CLOCK, """SELECT media_id, round(CASE WHEN bool_or(restarted) THEN greatest((media_id % 7 * 10000)::DOUBLE, max(elapsed) / 1000.0::DOUBLE) ELSE media_id % 7 * 10000 END, 4)::DOUBLE AS runtime
+            FROM ck GROUP BY media_id"""),
         "sample_spans": w(SAMPLES, "SELECT media_id, idx, hash, t_start, t_end FROM samples"),
         "sample_times_extend": w(_CLOCK, """, x AS (SELECT media_id, seq, CASE WHEN media_id % 5 = 0 AND seq = 3 THEN NULL ELSE seq * 1000 - 1000 END AS t, CASE WHEN media_id % 3 = 0 THEN 0 ELSE 20000 END AS total FROM ev),
             y AS (SELECT *, count(*) OVER p AS n, count(t) OVER p AS known FROM x WINDOW p AS (PARTITION BY media_id)),
@@ -289,6 +301,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT node, min(other) AS component FROM r GROUP BY node""",
         "group_maxima": w(PARTS, f"SELECT group_no, media_id, resolution, bitrate, quality, max_duration, max_resolution, max_quality, max_size FROM {_tiers('mem', 'group_no')}"),
         "tiers": w(PARTS, f"SELECT group_no, media_id, tier_length, tier_resolution, tier_quality, tier_size FROM {_tiers('mem', 'group_no')}"),
+        "tiers_unmeasured": w(PARTS_UNMEASURED, f"SELECT group_no, media_id, tier_length, tier_resolution, tier_quality, tier_size FROM {_tiers('mem', 'group_no')}"),
+        "find_best_unmeasured": w(PARTS_UNMEASURED, " UNION ALL ".join(f"SELECT '{m}' AS priority, group_no, best FROM {_fold(_tiers('mem', 'group_no'), 'group_no', m)}" for m in K.METRICS)),
         "codec_standoff": w(_decide("length"), "SELECT DISTINCT group_no, media_id FROM st"),
         "metric_shortfall": w(_decide("size"), "SELECT group_no, media_id FROM sf"),
         "fates": w(_decide("length"), "SELECT media_id, action FROM ft"),
@@ -297,7 +311,13 @@ def oracle_sql() -> dict[str, str]:
         "reclaimable": w(_decide("length"), """SELECT (SELECT count(DISTINCT group_no) FROM mem) AS groups, count(*) AS files, count(*) FILTER (action = 'DELETE') AS delete_count,
             coalesce(sum(file_size) FILTER (action = 'DELETE'), 0)::BIGINT AS reclaimable_bytes FROM ft JOIN pm USING (media_id)"""),
         "strongest_link": w(f"{PARTS},{LINKS}", "SELECT group_no, subject, other, round(matched_seconds, 4) AS matched_seconds FROM gl WHERE rank = 1"),
+        "ranked_links": w(f"{PARTS},{LINKS}", "SELECT group_no, subject, other, other_path, round(matched_seconds, 4) AS matched_seconds, rank::INTEGER AS rank FROM gl"),
         "report_rows": w(f"{_decide('length')},{LINKS}", _report_cells()),
+        "report_json": w(f"{_decide('length')},{LINKS}", f"""SELECT 'group_' || m.group_no AS "group", m.pos, action, {_two('duration')} AS length_seconds, width, round(frame_rate, 3) AS framerate_fps, file_size AS size_bytes,
+            bitrate AS bitrate_bps, {_quality("quality")} AS quality, nullif(quality, 0) AS quality_bits_per_frame, b.other_path AS matched_with, coalesce(n_samples, 0) AS samples, m.path AS full_path,
+            {_two('b.matched_seconds')} AS matched_seconds, {_clock('b')}, (g.rank - 1)::INTEGER AS n, g.other_path AS link_full_path, {_two('g.matched_seconds')} AS link_matched_seconds, {_clock('g', 'link_')}
+            FROM mem m JOIN ft USING (media_id) LEFT JOIN gl b ON b.group_no = m.group_no AND b.subject = m.media_id AND b.rank = 1 LEFT JOIN gl g ON g.group_no = m.group_no AND g.subject = m.media_id
+            LEFT JOIN (SELECT l_partkey AS media_id, count(*) AS n_samples FROM lineitem GROUP BY 1) c ON c.media_id = m.media_id"""),
         "format_functions": f"""WITH o AS (SELECT o_orderkey, o_orderstatus, floor(o_totalprice * (1 + o_orderkey % 2000))::BIGINT AS n, o_totalprice / (1 + o_orderkey % 4000) AS s,
               o_orderkey % 70 + CASE o_orderkey % 3 WHEN 0 THEN 0.004::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS r FROM orders)
             SELECT o_orderkey, {_size("n")} AS size, {_bitrate("n")} AS bitrate, {_quality("n")} AS quality, {_duration("s")} AS duration, {_shared("s")} AS shared, {_fps("r")} AS fps,

@@ -21,6 +21,7 @@ class Result:
     members: DataFrame
     fates: DataFrame
     links: DataFrame
+    detail: DataFrame
     report: DataFrame
     problems: DataFrame
 
@@ -42,7 +43,7 @@ def find_duplicates(media: DataFrame, samples: DataFrame, distance: int = 4, per
     groups = settle(graph.ordered_groups(cliques, figures), "groups")
     members = groups.join(figures, "media_id")
     fated = decide.fates(members, priority)
-    linked = cov.links(matches)
-    rows = report.report_rows(members, report.group_links(members, linked, figures), fated, samples)
+    linked = report.group_links(members, cov.links(matches), figures)
+    detail = report.described(members, linked, fated, samples)
     problems = cliques.where("problem IS NOT NULL").select(F.lit("clique_search").alias("category"), F.col("component").alias("seq"), F.col("problem").alias("detail"))
-    return Result(matches, groups, members, fated, linked, rows, problems)
+    return Result(matches, groups, members, fated, linked, detail, report.text_rows(detail), problems)

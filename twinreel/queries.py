@@ -71,6 +71,19 @@ def collapse_runs(spark, d):
     return samples.collapse(rows).select("media_id", "seq", F.col("hash").alias("state"), "valid")
 
 
+@query
+def drop_repeats(spark, d):
+    return samples.drop_repeats(t.clock_frames(spark, d), "event_type").select("media_id", "seq", "event_type")
+
+
+@query
+def restarted_runtime(spark, d):
+    clock = samples.sample_clock(t.clock_frames(spark, d))
+    per = clock.groupBy("media_id").agg(F.max("elapsed").alias("total_ms"), F.bool_or("restarted").alias("restarted"))
+    stated = (F.col("media_id") % 7 * 10_000).cast("double")
+    return per.select("media_id", F.round(samples.runtime(stated, F.col("total_ms"), F.col("restarted")), 4).alias("runtime"))
+
+
 @query
 def sample_spans(spark, d):
     return t.document_samples(spark, d)
@@ -220,6 +233,18 @@ for _m in K.METRICS:
     _best(_m)
 
 
+@query
+def tiers_unmeasured(spark, d):
+    return ranking.with_tiers(_members(spark, d, True), "group_no").select("group_no", "media_id", *[f"tier_{m}" for m in K.METRICS])
+
+
+@query
+def find_best_unmeasured(spark, d):
+    tiered = ranking.with_tiers(_members(spark, d, True), "group_no")
+    both = [ranking.find_best(tiered, m, "group_no").select(F.lit(m).alias("priority"), "group_no", "best") for m in K.METRICS]
+    return both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
+
+
 @query
 def codec_standoff(spark, d):
     return decide.group_decisions(_members(spark, d))[1].where("reason = 'standoff'").select("group_no", "media_id")
@@ -257,6 +282,12 @@ def strongest_link(spark, d):
     return links.where("rank = 1").select("group_no", "subject", "other", F.round("matched_seconds", 4).alias("matched_seconds"))
 
 
+@query
+def ranked_links(spark, d):
+    links = report.group_links(t.part_groups(spark, d), t.part_links(spark, d), t.part_media(spark, d))
+    return links.select("group_no", "subject", "other", "other_path", F.round("matched_seconds", 4).alias("matched_seconds"), "rank")
+
+
 @query
 def report_rows(spark, d):
     m = _members(spark, d)
@@ -267,10 +298,17 @@ def report_rows(spark, d):
 
 @query
 def report_json(spark, d):
-    m = _members(spark, d)
+    m, f = _members(spark, d), None
     links = report.group_links(t.part_groups(spark, d), t.part_links(spark, d), t.part_media(spark, d))
     f = decide.fates(m)
-    return report.report_json(report.report_rows(m, links, f, t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("media_id"))), m, f)
+    detail = report.described(m, links, f, t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("media_id")))
+    # what a reader of the written groups finds
+    link = "full_path string, matched_seconds double, matched_from string, matched_to string, matched_from_seconds double, matched_to_seconds double"
+    file = f"action string, length_seconds double, width int, framerate_fps double, size_bytes long, bitrate_bps long, quality string, quality_bits_per_frame long, matched_with string, samples long, {link}, matches array<struct<{link.replace(' ', ':').replace(',:', ',')}>>"
+    read = report.json_groups(detail, links).select(F.from_json("json", f"`group` string, files array<struct<{file.replace('array<struct<', 'ARRAY<STRUCT<')}>>").alias("g"))
+    files = read.select("g.group", F.posexplode("g.files").alias("pos", "f"))
+    each = files.select("group", "pos", "f.*", F.posexplode_outer("f.matches").alias("n", "l")).drop("matches")
+    return each.select(*[c for c in each.columns if c != "l"], *[F.col(f"l.{c}").alias(f"link_{c}") for c in ("full_path", "matched_seconds", "matched_from", "matched_to", "matched_from_seconds", "matched_to_seconds")])
 
 
 @query
