@@ -183,3 +183,12 @@ def test_hash_of_coefficients(spark):
     got = [r[1] for r in df.select("i", median_hash(F.col("c"))).orderBy("i").collect()]
     assert got == pixels.hashes(block).tolist()
     assert {int(x & (2**64 - 1)).bit_count() for x in got} == {32}
+
+
+def test_route_is_chosen_by_cost():
+    for tolerance in (0, 4, 10, 18):
+        dearer = [hamming.index_is_cheaper(rows, tolerance) for rows in (100, 10_000, 1_000_000, 1_000_000_000)]
+        assert dearer == sorted(dearer)
+        assert not dearer[0]
+        assert dearer[-1]
+    assert K.best_blocks(10, 80_000) == 6

@@ -15,21 +15,19 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinreel.constants import best_blocks, block_plan, block_work, masks
+from twinreel.constants import PAIR_WORK, best_blocks, block_plan, block_work, masks, work_per_hash
 from twinreel.functions.hashing import block, hamming
 from twinreel.plans.storage import settle
 
-#: Distinct hashes up to which comparing all of them is cheaper than dealing keys.
-DIRECT_ROWS = 3_000
 #: Distinct hashes that are broadcast at most, whatever route is asked for (8 bytes each).
 BROADCAST_HASHES = 1_000_000
 #: Candidates that a task of the block route meets, about.
 TASK_CANDIDATES = 20_000_000
 
 
-def distinct_pairs_direct(hashes: DataFrame, tolerance: int) -> DataFrame:
-    """(x, y, dist) with x <= y over distinct hashes, by comparing every pair; for sets known to be small."""
-    x, y = hashes.select(F.col("hash").alias("x")), hashes.select(F.col("hash").alias("y"))
+def distinct_pairs_direct(hashes: DataFrame, tolerance: int, rows: int = 0) -> DataFrame:
+    """(x, y, dist) with x <= y over distinct hashes (about `rows` of them), by comparing every pair; for sets known to be small."""
+    x, y = hashes.select(F.col("hash").alias("x")).repartition(_tasks(hashes, rows * rows * PAIR_WORK / TASK_CANDIDATES)), hashes.select(F.col("hash").alias("y"))
     return x.join(F.broadcast(y), (F.col("x") <= F.col("y")) & (hamming(F.col("x"), F.col("y")) <= tolerance)).withColumn("dist", hamming(F.col("x"), F.col("y")))
 
 
@@ -66,15 +64,16 @@ def distinct_pairs_indexed(hashes: DataFrame, tolerance: int, blocks: int, rows:
     return left.join(right, ["k", "v"]).where((F.col("x") <= F.col("y")) & (dist <= tolerance) & first).select("x", "y", dist.alias("dist"))
 
 
-def index_is_cheaper(rows: int) -> bool:
-    return rows > DIRECT_ROWS
+def index_is_cheaper(rows: int, tolerance: int) -> bool:
+    """Does dealing keys cost less, by estimate, than comparing all of `rows` hashes?"""
+    return work_per_hash(tolerance, best_blocks(tolerance, rows), rows) < PAIR_WORK * rows
 
 
 def distinct_pairs(hashes: DataFrame, tolerance: int, route: str = "auto") -> DataFrame:
     """(x, y, dist) with x <= y, by the cheaper route; `hashes` has the distinct hashes."""
     rows = hashes.count()
-    if rows <= BROADCAST_HASHES and (route == "direct" or route == "auto" and not index_is_cheaper(rows)):
-        return distinct_pairs_direct(hashes, tolerance)
+    if rows <= BROADCAST_HASHES and (route == "direct" or route == "auto" and not index_is_cheaper(rows, tolerance)):
+        return distinct_pairs_direct(hashes, tolerance, rows)
     return distinct_pairs_indexed(hashes, tolerance, best_blocks(tolerance, rows), rows)
 
 

@@ -28,6 +28,11 @@ class Result:
 
 def match_media(media: DataFrame, samples: DataFrame, distance: int = 4, percent: float = 20.0, min_duration: float = 0.0, route: str = "auto") -> DataFrame:
     """Pairs a < b that share enough, with the coverage and span of either side."""
+    return _match(media, settle(samples, "samples"), distance, percent, min_duration, route)
+
+
+def _match(media: DataFrame, samples: DataFrame, distance: int, percent: float, min_duration: float, route: str) -> DataFrame:
+    # the samples are read five times, frames and marks twice
     frames = settle(hamming.frame_matches(samples, tolerances(distance)[1], route), "frames")
     marks = settle(corroborated(frames, distance), "marks")
     pairs = cov.percent_gate(cov.coverage(marks, samples, media), percent)
@@ -37,8 +42,8 @@ def match_media(media: DataFrame, samples: DataFrame, distance: int = 4, percent
 def find_duplicates(media: DataFrame, samples: DataFrame, distance: int = 4, percent: float = 20.0, min_duration: float = 0.0, priority: str = "length", route: str = "auto") -> Result:
     cov.check_knobs(distance, percent, min_duration)
     figures = ranking.with_figures(cov.runtime_filter(media, min_duration))
-    samples = samples.join(figures.select("media_id"), "media_id", "left_semi")
-    matches = settle(match_media(figures, samples, distance, percent, min_duration, route), "matches")
+    samples = settle(samples.join(figures.select("media_id"), "media_id", "left_semi"), "samples")
+    matches = settle(_match(figures, samples, distance, percent, min_duration, route), "matches")
     cliques = settle(graph.groups(matches), "cliques")
     groups = settle(graph.ordered_groups(cliques, figures), "groups")
     members = groups.join(figures, "media_id")
