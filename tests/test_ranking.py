@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinreel import constants as K
 from twinreel.functions import formatting as fmt
 from twinreel.operators import decide, ranking, report
+from twinreel.sources import tables as t
 
 SCHEMA = "group_no long, media_id long, pos int, path string, codec string, duration double, width int, height int, file_size long, frame_rate double"
 
@@ -169,3 +170,22 @@ def test_replay_verdicts(spark):
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cells)], "row_no long, action string, full_path string, size_bytes string")
     got = [(r["verdict"], r["reason"]) for r in reports.verdicts(df).orderBy("row_no").collect()]
     assert got == [c[3:] for c in cells]
+
+
+def test_links_by_classes_are_the_links(spark):
+    d = "/root/testdata/sf0.001"
+    media = t.part_media(spark, d, True)  # some runtimes unknown
+    groups = media.select((F.col("media_id") % 3).alias("group_no"), "media_id").unionByName(media.where("media_id < 40").select(F.lit(9).cast("long").alias("group_no"), "media_id"))
+    pairs = groups.alias("x").join(groups.alias("y"), "group_no").where("x.media_id <> y.media_id").select(F.col("x.media_id").alias("subject"), F.col("y.media_id").alias("other")).distinct()
+    classes, between = t.part_classes(spark, d)
+    named = pairs.join(classes.select(F.col("media_id").alias("subject"), F.col("link_class").alias("subject_class")), "subject").join(classes.select(F.col("media_id").alias("other"), F.col("link_class").alias("other_class")), "other")
+    links = named.join(between, ["subject_class", "other_class"])
+    want = report.group_links(groups, links.select("subject", "other", "coverage", "span"), media)
+    rows = lambda df: sorted(tuple(r) for r in df.select("group_no", "subject", "other", "other_path", F.round("matched_seconds", 9), "span.start_ms", "span.end_ms", "rank").collect())
+    made, expected = report.class_links(groups, classes, between, media), rows(want)
+    assert rows(made) == expected and len(expected) > 10_000
+    assert rows(report.class_links(groups, classes, between, media, 1)) == [r for r in expected if r[-1] == 1]
+    # links are made, not exchanged and ordered: nothing stands above the join that makes them
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Window" not in above and "Aggregate" not in above and "Sort" not in above
