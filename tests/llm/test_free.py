@@ -158,6 +158,31 @@ def test_models_are_distributions_and_tell_classes_apart():
     assert all(ratio.score(x) < cut for x in bad[250:])
 
 
+def test_url_models_count_every_example(spark):
+    urls = [f"http://site{i % 97}.org/news/{i * 7919 % 100_003}.html" for i in range(12_000)] + [f"http://b{i % 13}.com/de/{i}?aff={i % 7}é" for i in range(60)]
+    decided = spark.createDataFrame([(u, "allow" if ".org" in u else "block") for u in urls * 2], "url string, rule_verdict string")
+    rows = url_filter.examples(decided).collect()
+    assert len(rows) == len(set(urls))
+    sets = {(g, h): [r["u"] for r in rows if (r["good"], r["held"]) == (g, h)] for g in (True, False) for h in (True, False)}
+    plain = url_filter.Ratio(sets[True, False], sets[False, False])
+    ratio, cut = url_filter.fit(decided)
+    probes = ["", "x", "site5.org/news/1.html", "b1.com/de/9?aff=3é", "\x00ü\U0001f600/zz"]
+    assert ratio.scores(probes).tolist() == pytest.approx([plain.score(x) for x in probes], abs=1e-9)
+    kept = [sum(plain.score(x) >= cut for x in sets[g, True]) / len(sets[g, True]) for g in (True, False)]
+    best = url_filter.calibrate([plain.score(x) for x in sets[True, True]], [plain.score(x) for x in sets[False, True]])
+    assert kept == [sum(plain.score(x) >= best for x in sets[g, True]) / len(sets[g, True]) for g in (True, False)]
+
+
+def test_cut_off_of_steps_is_that_of_scores():
+    rng = random.Random(4)
+    good, bad = ([round(rng.gauss(m, 1) / url_filter.STEP) * url_filter.STEP for _ in range(900)] for m in (0.7, -0.4))
+    steps = sorted({int(x / url_filter.STEP) for x in good + bad})
+    count = lambda xs: np.array([sum(int(x / url_filter.STEP) == s for x in xs) for s in steps])
+    cut = url_filter.cut_off(np.array(steps), count(good), count(bad))
+    both = lambda c: sum(x >= c for x in good) / 900 + sum(x < c for x in bad) / 900
+    assert both(cut) == pytest.approx(max(both(c) for c in {*good, *bad, 0.0}))
+
+
 # --- language model -----------------------------------------------------------------------------
 
 
