@@ -192,3 +192,36 @@ def test_route_is_chosen_by_cost():
         assert not dearer[0]
         assert dearer[-1]
     assert K.best_blocks(10, 80_000) == 6
+
+
+def test_stars_leave_no_more_rows_than_nodes_and_connect_the_same(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TAKEN", 50)
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(b, b + 60), 2))) for b in (-500, 0, 900) for _ in range(400)} | {(-3000, 4000), (4000, 5000)})
+    m = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    rows = graph.stars(m).collect()
+    assert len(rows) <= 3 * 183 < len(pairs)
+    assert sum(r["n"] for r in rows) == len(pairs)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, {a}).add(b), near.setdefault(b, {b}).add(a)
+    want = {}
+    for v in sorted(near):
+        todo = [] if v in want else [v]
+        while todo:
+            u = todo.pop()
+            if u not in want:
+                want[u] = v
+                todo += near[u]
+    assert dict(graph.components(m).collect()) == want
+
+
+def test_component_beyond_the_budget_is_not_gathered(spark):
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20)] + [(100, 101)]
+    m = spark.createDataFrame(pairs, "a long, b long")
+    # a first step of 380
+    assert graph.maximal_cliques(pairs[:-1], 379) == ([], "budget")
+    for budget in (100, 379):
+        rows = graph.groups(m, budget=budget)
+        assert sorted((r["component"], r["members"], r["problem"]) for r in rows.collect()) == [(0, None, "20 media: gave up over its budget"), (100, [100, 101], None)]
+    assert graph.groups(m).where("members IS NOT NULL").count() == 2
