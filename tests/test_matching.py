@@ -12,6 +12,7 @@ from twinreel.functions import pixels
 from twinreel.functions.hashing import median_hash
 from twinreel.operators import corroborate, graph, hamming
 from twinreel.operators import coverage as cov
+from twinreel.plans import api
 
 SCHEDULE = {**dict.fromkeys(range(13), 1), **dict.fromkeys(range(13, 16), 2), **dict.fromkeys(range(16, 19), 3), 19: 4, 20: 4, 21: 5, 22: 6, 23: 7, 24: 8, 25: 10, 26: 12, 27: 15, 28: 18, 29: 23, 30: 29, 31: 38, 32: 51}
 
@@ -225,3 +226,14 @@ def test_component_beyond_the_budget_is_not_gathered(spark):
         rows = graph.groups(m, budget=budget)
         assert sorted((r["component"], r["members"], r["problem"]) for r in rows.collect()) == [(0, None, "20 media: gave up over its budget"), (100, [100, 101], None)]
     assert graph.groups(m).where("members IS NOT NULL").count() == 2
+
+
+def test_matches_outside_groups_are_dropped_where_they_are_read(spark):
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20)] + [(100, 101), (100, 102), (101, 103)]
+    m = spark.createDataFrame(pairs, "a long, b long")
+    media = spark.createDataFrame([(i, f"/p/{i}") for i in (*range(20), 100, 101, 102, 103)], "media_id long, path string")
+    groups = graph.ordered_groups(graph.groups(m, budget=100), media)
+    kept = api.grouped_matches(m, groups)
+    assert sorted(map(tuple, kept.collect())) == pairs[-3:]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
