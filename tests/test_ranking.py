@@ -189,3 +189,28 @@ def test_links_by_classes_are_the_links(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Window" not in above and "Aggregate" not in above and "Sort" not in above
+
+
+def test_json_by_classes_is_a_row_a_file_and_exchanges_no_link(spark):
+    d = "/root/testdata/sf0.001"
+    media = t.part_media(spark, d, True)
+    groups = media.select((F.col("media_id") % 3).alias("group_no"), "media_id")
+    members = groups.withColumn("pos", (F.col("media_id") / 3).cast("int")).join(ranking.with_figures(media), "media_id").cache()
+    classes, between = t.part_classes(spark, d)
+    linked = report.class_links(groups, classes, between, media)
+    samples = spark.createDataFrame([(1,), (1,), (2,)], "media_id long")
+    detail = report.described(members, linked, decide.fates(members), samples).cache()
+    made = report.class_json_groups(detail, groups, classes, between, media)
+    key = lambda df: sorted(map(tuple, df.select("group_no", "group", "pos", "json").collect()))
+    got = key(made)
+    assert got == key(report.json_groups(detail, linked)) and len(got) == groups.count()
+    whole = json.loads("".join(report.json_text(made, {})))["results"]
+    assert [g["group"] for g in whole] == ["group_0", "group_1", "group_2"] and [f for g in whole for f in g["files"]] == [json.loads(r[3]) for r in got]
+    text = "".join(report.json_text(made, {"n": 1}))
+    assert text == json.dumps({"summary": {"n": 1}, "results": whole}, indent=2, ensure_ascii=False) + "\n"
+    # the join that gives a file its links is the last one, and nothing is exchanged or sorted above it
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and "Sort" not in above and "Repartition" not in above
+    # media and their classes are not sent to all tasks, small as they are here
+    assert report._by_class(groups, classes, between, media)[0]._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
