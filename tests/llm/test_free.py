@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -299,6 +300,57 @@ def test_changes_are_averaged_by_touch(spark):
     assert np.abs(got - model.w).max() < 0.01
 
 
+def test_tokens_are_placed_once(monkeypatch):
+    """However often a token occurs, and in however many texts, its row and class are worked out once."""
+    v, _ = _vocabulary([b"a b c d e f g h"], 4)
+    asked = []
+    monkeypatch.setattr(lm_score.zlib, "crc32", lambda t, f=zlib.crc32: asked.append(t) or f(t))
+    names = lm_score.tokens(b"unheard of a unheard")
+    first = v.look(names)
+    done = len(asked)
+    again = v.look(names * 3)
+    assert done == 2 * 2 and len(asked) == done
+    assert all((np.tile(x, 3) == y).all() for x, y in zip(first, again))
+    monkeypatch.setattr(lm_score, "REMEMBERED", 1)  # places are forgotten, not wrong
+    assert all((x == y).all() for x, y in zip(first, v.look(names)))
+
+
+def test_split_texts_are_the_tokens(spark):
+    rng = random.Random(4)
+    parts = ["a", "B", "é", "Z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\0"]
+    texts = [None, "", " ", *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(2000))]
+    got = lm_score.split(pa.array([t if t is None else t.encode() for t in texts], pa.binary())).to_pylist()
+    want = [lm_score.tokens((t or "").encode())[:-1] for t in texts]
+    assert [[w.encode() for w in ws] for ws in got] == want
+    docs = spark.createDataFrame([(None if t is None else t.encode(), i % 3 == 0, i % 2) for i, t in enumerate(texts)], "text binary, held_out boolean, chunk int")
+    count = Counter((i % 2, w) for i, t in enumerate(texts) for w in lm_score.tokens((t or "").encode()) if i % 3)
+    every = {(i % 2, w) for i, t in enumerate(texts) for w in lm_score.tokens((t or "").encode())}
+    assert sorted((r["chunk"], bytes(r["token"]), r["c"]) for r in lm_score.chunk_tokens(docs).collect()) == sorted((*k, count[k]) for k in every)
+
+
+def test_noise_members_are_drawn_by_frequency():
+    v, _ = _vocabulary([b" ".join(b"w%d" % i for i in range(90) for _ in range(1 + i * i % 17))], 80)
+    stay, other = lm_score.aliases(v.q_member, v.starts)
+    size = np.repeat(np.diff(v.starts), np.diff(v.starts))
+    got = stay / size + np.bincount(other, weights=(1 - stay) / size, minlength=v.members)
+    assert got == pytest.approx(v.q_member)
+    assert (np.searchsorted(v.starts, other, "right") == np.searchsorted(v.starts, np.arange(v.members), "right")).all()
+
+
+def test_a_row_gets_the_sum_of_its_gradients():
+    rng = np.random.default_rng(2)
+    v, _ = _vocabulary([b"a b c d e f g"])
+    model = lm_score.Model.start(v)
+    trainer, before = lm_score.Trainer(model, 0), model.w.copy()
+    rows, grads = rng.integers(0, 9, 50).astype(np.int32), rng.normal(size=(50, lm_score.DIM + 1)).astype(np.float32)
+    total = np.zeros_like(before)
+    np.add.at(total, rows, grads)
+    trainer._update(rows, grads.copy())
+    square = 1e-8 + (total**2).mean(1, keepdims=True)
+    assert model.w == pytest.approx(before - lm_score.RATE / np.sqrt(square) * total, abs=1e-5)
+    assert (trainer.touched == np.isin(np.arange(len(before)), rows)).all()
+
+
 # --- SimHash ------------------------------------------------------------------------------------
 
 

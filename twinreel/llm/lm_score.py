@@ -26,11 +26,11 @@ an empty training set scores every token as unseen; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +47,8 @@ SEGMENT, SEGMENTS, BUFFER = 32, 24, 2048
 NOISE, NOISE_MEMBERS, RATE = 64, 2, 0.1
 #: Parameter rows of a block, and partitions that average blocks.
 BLOCK, AVERAGES = 2048, 32
+#: Tokens whose places a task remembers, about.
+REMEMBERED = 1 << 20
 END = b""
 
 
@@ -54,6 +56,13 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """The words of each text; null texts and texts of white space have none."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    words = pc.ascii_split_whitespace(trimmed)
+    return pc.if_else(pc.equal(pc.binary_length(trimmed), 0), pa.scalar([], words.type), words)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -67,6 +76,18 @@ def endings(own: int) -> int:
     return 1 << max(4, round(np.log2(1.4 * max(own, 1) ** 0.5)))
 
 
+class _Places(dict):
+    """A token's row as context, and its class << 32: worked out once for each token, however often it occurs."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        super().__init__(zip(v.number, (np.arange(v.own) | v.own_class.astype(np.int64) << 32).tolist()))
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = place = self.v.own + zlib.crc32(token) % self.v.hashed | self.v.class_of(token) << 32
+        return place
+
+
 class Vocabulary:
     """Where a token's vectors are.  `own`: (token, count) by falling count; `ends`: class -> (tokens, kinds) of its rest."""
 
@@ -98,21 +119,21 @@ class Vocabulary:
         self.q_class = np.concatenate([self.count[: self.first], per_class])
         self.q_class /= self.q_class.sum()
         self.rows = self.pad + 1 + self.classes + self.members + CONTEXT
+        self.places: _Places | None = None
 
     def class_of(self, token: bytes) -> int:
         return self.first + zlib.crc32(token[-3:]) % self.ends
 
     def look(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row as context, class, member or -1) of each token."""
-        own = np.fromiter((self.number.get(t, -1) for t in names), np.int64, len(names))
-        row, cls, member = own.copy(), np.empty(len(names), np.int32), np.empty(len(names), np.int32)
-        known = own >= 0
-        cls[known], member[known] = self.own_class[own[known]], self.own_member[own[known]]
-        other = np.flatnonzero(~known).tolist()
-        row[other] = [self.own + zlib.crc32(names[i]) % self.hashed for i in other]
-        cls[other] = [self.class_of(names[i]) for i in other]
-        member[other] = self.rest_member[cls[other] - self.first]
-        return row.astype(np.int32), cls, member
+        if self.places is None or len(self.places) > self.own + REMEMBERED:
+            self.places = _Places(self)
+        place = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        row, cls, member = (place & 0xFFFFFFFF).astype(np.int32), (place >> 32).astype(np.int32), np.empty(len(names), np.int32)
+        known, other = np.flatnonzero(row < self.own), np.flatnonzero(row >= self.own)
+        member[known] = self.own_member.take(row.take(known))
+        member[other] = self.rest_member.take(cls.take(other) - self.first)
+        return row, cls, member
 
 
 class Model:
@@ -130,7 +151,8 @@ class Model:
         self.w = weights
         a, b, c = v.pad + 1, v.pad + 1 + v.classes, v.pad + 1 + v.classes + v.members
         self.at = (a, b, c)
-        self.inp, self.cls, self.mem, self.mix = weights[:a, :DIM], weights[a:b], weights[b:c], weights[c:, :DIM]
+        # the last column of context vectors and weights is zero
+        self.inp, self.cls, self.mem, self.mix = weights[:a], weights[a:b], weights[b:c], weights[c:]
 
     @classmethod
     def start(cls, v: Vocabulary) -> Model:
@@ -138,19 +160,39 @@ class Model:
         m.cls[:, DIM], m.mem[:, DIM] = np.log(v.q_class), np.log(v.q_member)
         return m
 
-    def hidden(self, rows: np.ndarray, n: int) -> np.ndarray:
-        """Predicted vectors, and a column of ones, for the n positions that follow the first CONTEXT of each run of vectors."""
-        out = np.empty((*rows.shape[:-2], n, DIM + 1), np.float32)
-        out[..., DIM] = 1
-        h = out[..., :DIM]
-        np.multiply(rows[..., CONTEXT - 1 : CONTEXT - 1 + n, :], self.mix[0], out=h)
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        """Predicted vectors with a last column of ones, for the positions that follow the first CONTEXT of a run of vectors."""
+        n = len(rows) - CONTEXT
+        out, part = rows[CONTEXT - 1 : CONTEXT - 1 + n] * self.mix[0], np.empty((n, DIM + 1), np.float32)
         for j in range(1, CONTEXT):
-            h += rows[..., CONTEXT - 1 - j : CONTEXT - 1 - j + n, :] * self.mix[j]
+            out += np.multiply(rows[CONTEXT - 1 - j : CONTEXT - 1 - j + n], self.mix[j], out=part)
+        out[:, DIM] = 1
         return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def aliases(q: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stay, other): a uniform place of a class that is kept with probability `stay`, else changed to the other, is drawn by q."""
+    stay, other = q * np.repeat(np.diff(starts), np.diff(starts)), np.arange(len(q), dtype=np.int32)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        p = stay[s:e].tolist()
+        small, large = [i for i, x in enumerate(p) if x < 1], [i for i, x in enumerate(p) if x >= 1]
+        while small and large:
+            i, j = small.pop(), large[-1]
+            other[s + i] = s + j
+            p[j] -= 1 - p[i]
+            if p[j] < 1:
+                small.append(large.pop())
+        for i in [*small, *large]:
+            p[i] = 1.0
+        stay[s:e] = p
+    return stay, other
 
 
 class Trainer:
@@ -163,138 +205,164 @@ class Trainer:
         self.touched = np.zeros(len(model.w), np.float32)
         self.log_class, self.log_member = np.log(v.q_class * NOISE).astype(np.float32), np.log(v.q_member * NOISE_MEMBERS).astype(np.float32)
         self.drawn = self.rng.choice(v.classes, 1 << 18, p=v.q_class).astype(np.int32)
-        self.upto = np.cumsum(v.q_member)  # each class adds one
-        self.least = np.arange(v.ends, dtype=np.float64)
+        self.stay, self.alias = aliases(v.q_member, v.starts)
+        self.sizes = np.diff(v.starts)
+        self.last = np.zeros(len(model.w), np.int32)
+        self.cells = model.w.view(f"V{4 * (DIM + 1)}").ravel()
+        self.grads = np.empty((0, DIM + 1), np.float32)
 
     def _update(self, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        key = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, g = key[first], np.add.reduceat(grads[order], first, axis=0)
-        s = self.square[key] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        # each row's last gradient gets the row's other ones added
+        every = np.arange(len(rows), dtype=np.int32)
+        self.last[rows] = every
+        at = self.last.take(rows)
+        ends = at == every
+        keep, more = np.flatnonzero(ends), np.flatnonzero(~ends)
+        place = np.empty(len(rows), np.int64)
+        place[keep] = np.arange(len(keep))
+        g, key, half = grads.take(keep, axis=0), rows.take(keep), (DIM + 1) // 2
+        # two numbers at once, as one complex number
+        to = (place.take(at.take(more))[:, None] * half + np.arange(half)).ravel()
+        np.add.at(g.reshape(-1).view(np.complex64), to, grads.take(more, axis=0).reshape(-1).view(np.complex64))
+        s = self.square.take(key) + np.einsum("ij,ij->i", g, g) / g.shape[1]
         self.square[key] = s
         g *= (RATE / np.sqrt(s))[:, None]
-        self.m.w[key] -= g
+        self.cells[key] = np.subtract(self.m.w.take(key, axis=0), g, out=g).view(self.cells.dtype).ravel()
         self.touched[key] += 1
 
     def step(self, x: np.ndarray, y: np.ndarray, member: np.ndarray) -> None:
         """x: runs of CONTEXT + SEGMENT context rows; y, member: runs of SEGMENT classes (-1 past the end of a text) and members (-1: none)."""
         m, v = self.m, self.m.v
         a, b, c = m.at
-        rows = m.inp[x]
-        flat, real = m.hidden(rows, SEGMENT).reshape(-1, DIM + 1), np.flatnonzero(y.ravel() >= 0)
-        h, y, member = flat[real], y.ravel()[real], member.ravel()[real]
-        z = self.drawn[self.rng.integers(0, len(self.drawn), NOISE)]
-        wy, wz = m.cls[y], m.cls[z]
-        good = _sigmoid(np.einsum("ij,ij->i", h, wy) - self.log_class[y]) - 1
-        bad = _sigmoid(h @ wz.T - self.log_class[z])
-        gh = good[:, None] * wy
-        gh += bad @ wz
-        keys, grads = [a + y, a + z], [good[:, None] * h, bad.T @ h]
+        x, n = x.ravel(), x.size
+        rows = m.w.take(x, axis=0)
+        real = np.flatnonzero(y.ravel() >= 0)
+        y, member = y.ravel().take(real), member.ravel().take(real)
+        at = real + real // SEGMENT * CONTEXT  # runs lie behind each other: what is predicted across their bounds is not used
+        h = m.hidden(rows).take(at, axis=0)
+        z = self.drawn.take(self.rng.integers(0, len(self.drawn), NOISE))
         two = np.flatnonzero(member >= 0)
+        ends = np.cumsum([n, CONTEXT, len(y), NOISE, len(two) * (1 + NOISE_MEMBERS)])
+        if len(self.grads) < ends[-1]:
+            self.grads = np.empty((ends[-1], DIM + 1), np.float32)
+        g_rows, g_mix, g_y, g_z, g_member = np.split(self.grads[: ends[-1]], ends[:-1])
+        wy, wz = m.cls.take(y, axis=0), m.cls.take(z, axis=0)
+        good = _sigmoid(np.einsum("ij,ij->i", h, wy) - self.log_class.take(y)) - 1
+        bad = h @ wz.T
+        bad -= self.log_class.take(z)
+        gh = _sigmoid(bad) @ wz
+        gh += np.multiply(good[:, None], wy, out=wy)
+        np.multiply(good[:, None], h, out=g_y)
+        np.matmul(bad.T, h, out=g_z)
+        keys = [x, np.arange(c, c + CONTEXT), a + y, a + z]
         if len(two):
-            h2, e = h[two], y[two] - v.first
-            u = self.least[e][:, None] + self.rng.random((len(two), NOISE_MEMBERS))
-            noise = np.searchsorted(self.upto, u, side="right").astype(np.int32)
-            ids = np.concatenate([member[two][:, None], np.clip(noise, v.starts[e][:, None], v.starts[e + 1][:, None] - 1)], 1)
-            w = m.mem[ids]
-            d = _sigmoid(np.matmul(w, h2[:, :, None])[:, :, 0] - self.log_member[ids])
+            h2, e = h.take(two, axis=0), y.take(two) - v.first
+            u = self.rng.random((len(two), NOISE_MEMBERS)) * self.sizes.take(e)[:, None]
+            slot = u.astype(np.int32)
+            u -= slot
+            slot += v.starts.take(e)[:, None]
+            ids = np.empty((len(two), 1 + NOISE_MEMBERS), np.int32)
+            ids[:, 0], ids[:, 1:] = member.take(two), np.where(u < self.stay.take(slot), slot, self.alias.take(slot))
+            w = m.mem.take(ids, axis=0)
+            d = _sigmoid(np.einsum("ijk,ik->ij", w, h2) - self.log_member.take(ids))
             d[:, 0] -= 1
-            gh[two] += np.matmul(d[:, None, :], w)[:, 0]
+            gh[two] += np.einsum("ij,ijk->ik", d, w)
             keys.append(b + ids.ravel())
-            grads.append((d[:, :, None] * h2[:, None, :]).reshape(-1, DIM + 1))
-        g = np.zeros((flat.shape[0], DIM), np.float32)
-        g[real] = gh[:, :DIM]
-        g = g.reshape(len(x), SEGMENT, DIM)
-        g_rows, g_mix = np.zeros((*rows.shape[:-1], DIM + 1), np.float32), np.zeros((CONTEXT, DIM + 1), np.float32)
+            np.multiply(d[:, :, None], h2[:, None, :], out=g_member.reshape(*ids.shape, DIM + 1))
+        g = np.zeros((n - CONTEXT, DIM + 1), np.float32)
+        g[at] = gh
+        g_rows[:] = 0
+        part, ones = np.empty_like(g), np.ones(len(g), np.float32)
         for j in range(CONTEXT):
-            run = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + SEGMENT)
-            g_rows[:, run, :DIM] += g * m.mix[j]
-            g_mix[j, :DIM] = np.einsum("abd,abd->d", g, rows[:, run])
-        self._update(np.concatenate([x.ravel(), np.arange(c, c + CONTEXT), *keys]), np.concatenate([g_rows.reshape(-1, DIM + 1), g_mix, *grads]))
+            run = slice(CONTEXT - 1 - j, n - 1 - j)
+            g_rows[run] += np.multiply(g, m.mix[j], out=part)
+            np.matmul(ones, np.multiply(g, rows[run], out=part), out=g_mix[j])
+        self._update(np.concatenate(keys), self.grads[: ends[-1]])
         m.w[v.pad] = 0
 
 
-def runs(v: Vocabulary, row: np.ndarray, cls: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One text cut into runs of SEGMENT positions with the CONTEXT rows before them."""
-    n = len(row)
+def runs(v: Vocabulary, lengths: list[int], row: np.ndarray, cls: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, one behind the other, cut into runs of SEGMENT positions with the CONTEXT rows before them."""
+    n = np.array(lengths)
     k = -(-n // SEGMENT)
-    x = np.full(CONTEXT + k * SEGMENT, v.pad, np.int32)
-    x[CONTEXT : CONTEXT + n] = row
-    y, z = np.full(k * SEGMENT, -1, np.int32), np.full(k * SEGMENT, -1, np.int32)
-    y[:n], z[:n] = cls, member
-    return np.lib.stride_tricks.sliding_window_view(x, CONTEXT + SEGMENT)[::SEGMENT], y.reshape(k, SEGMENT), z.reshape(k, SEGMENT)
-
-
-def numbered(texts: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct tokens, and each text as positions in them."""
-    number = dict.fromkeys(t for ts in texts for t in ts)
-    names = list(number)
-    number.update(zip(names, range(len(names))))
-    return names, [np.fromiter(map(number.__getitem__, ts), np.int64, len(ts)) for ts in texts]
+    after = np.cumsum(k)
+    # each text fills its runs from their start
+    at = np.arange(len(row)) + np.repeat((after - k) * SEGMENT - (np.cumsum(n) - n), n)
+    x, y, z = (np.full(after[-1] * SEGMENT, none, np.int32) for none in (v.pad, -1, -1))
+    x[at], y[at], z[at] = row, cls, member
+    x = x.reshape(-1, SEGMENT)
+    lead = np.full((len(x), CONTEXT), v.pad, np.int32)
+    lead[1:] = x[:-1, -CONTEXT:]
+    lead[after - k] = v.pad
+    return np.concatenate([lead, x], 1), y.reshape(-1, SEGMENT), z.reshape(-1, SEGMENT)
 
 
 def train_on(texts: Iterator[bytes | None], model: Model, seed: int) -> tuple[Trainer, int]:
     """A trainer after steps over every position of all the texts, and the number of positions."""
     trainer, v = Trainer(model, seed), model.v
-    buffer: list[list[bytes]] = []
-    held = used = 0
+    buffer: list[bytes] = []
+    lengths: list[int] = []
+    used = 0
 
     def flush() -> None:
-        nonlocal buffer, held
-        names, ids = numbered(buffer)
-        look = v.look(names)
-        cut = [runs(v, *(x[k] for x in look)) for k in ids]
-        x, y, z = (np.concatenate([r[i] for r in cut]) for i in range(3))
+        x, y, z = runs(v, lengths, *v.look(buffer))
         mixed = trainer.rng.permutation(len(x))
         for i in range(0, len(x), SEGMENTS):
             at = mixed[i : i + SEGMENTS]
-            trainer.step(x[at], y[at], z[at])
-        buffer, held = [], 0
+            trainer.step(x.take(at, axis=0), y.take(at, axis=0), z.take(at, axis=0))
+        buffer.clear()
+        lengths.clear()
 
     for text in texts:
-        buffer.append(tokens(text))
-        held, used = held + len(buffer[-1]), used + len(buffer[-1])
-        if held >= BUFFER * SEGMENT:
+        names = tokens(text)
+        buffer += names
+        lengths.append(len(names))
+        used += len(names)
+        if len(buffer) >= BUFFER * SEGMENT:
             flush()
     if buffer:
         flush()
     return trainer, used
 
 
-def _log_softmax(h: np.ndarray, w: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log probability of row own[i] of w for h[i]."""
-    z = h @ w.T
-    at = np.arange(len(z))
-    mine = z[at, own]
-    with np.errstate(over="ignore"):
-        total = np.exp(z, out=z).sum(1)
-    if not np.isfinite(total).all() or (total == 0).any():  # logits far from the usual
-        z = h @ w.T
-        z -= z.max(1, keepdims=True)
-        mine, total = z[at, own], np.exp(z).sum(1)
-    return mine - np.log(total)
-
-
-def log10_scores(m: Model, row: np.ndarray, cls: np.ndarray, member: np.ndarray, block: int = 2048, wide: int = 1 << 16) -> np.ndarray:
+def _log_softmax(h: np.ndarray, w: np.ndarray, own: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Log probability of row own[i] of w for h[i]; works in `space` (as large as a block's logits, so it stays in a cache)."""
+    out, step = np.empty(len(h), np.float32), max(1, len(space) // len(w))
+    ones, at = np.ones(len(w), np.float32), np.arange(min(step, len(h))) * len(w)
+    for i in range(0, len(h), step):
+        x, y = h[i : i + step], own[i : i + step]
+        z = np.matmul(x, w.T, out=space[: len(x) * len(w)].reshape(len(x), len(w)))
+        mine = z.ravel().take(at[: len(x)] + y)
+        with np.errstate(over="ignore"):
+            total = np.exp(z, out=z) @ ones
+        if not np.isfinite(total).all() or (total == 0).any():  # logits far from the usual
+            z = x @ w.T
+            z -= z.max(1, keepdims=True)
+            mine, total = z[np.arange(len(x)), y], np.exp(z).sum(1)
+        out[i : i + step] = mine - np.log(total)
+    return out
+
+
+def log10_scores(m: Model, row: np.ndarray, cls: np.ndarray, member: np.ndarray, block: int = 512, wide: int = 1 << 16) -> np.ndarray:
     """log10 probability of class and member at each position; texts follow each other, each after CONTEXT padding rows (class -1)."""
     v, out = m.v, np.zeros(len(row), np.float64)
+    space = np.empty(block * v.classes, np.float32)
+    if v.ends:
+        space = np.empty(max(len(space), int(np.diff(v.starts).max())), np.float32)
     for i in range(CONTEXT, len(row), wide):
         n = min(wide, len(row) - i)
-        h = m.hidden(m.inp[row[i - CONTEXT : i + n]], n)
+        h = m.hidden(m.inp.take(row[i - CONTEXT : i + n], axis=0))
         at = np.flatnonzero(cls[i : i + n] >= 0)
-        for j in range(0, len(at), block):
-            k = at[j : j + block]
-            out[i + k] = _log_softmax(h[k], m.cls, cls[i + k])
+        out[i + at] = _log_softmax(h.take(at, axis=0), m.cls, cls[i + at], space)
         two = at[member[i + at] >= 0]
         e = cls[i + two] - v.first
         order = np.argsort(e, kind="stable")
         two, ends = two[order], np.searchsorted(e[order], np.arange(v.ends + 1))
+        h, own, logs = h.take(two, axis=0), member[i + two], np.empty(len(two), np.float32)
         for c in np.flatnonzero(np.diff(ends)).tolist():
-            lo, hi = v.starts[c], v.starts[c + 1]
-            for j in range(ends[c], ends[c + 1], block):
-                k = two[j : min(j + block, ends[c + 1])]
-                out[i + k] += _log_softmax(h[k], m.mem[lo:hi], member[i + k] - lo)
+            lo, hi, k = v.starts[c], v.starts[c + 1], slice(ends[c], ends[c + 1])
+            logs[k] = _log_softmax(h[k], m.mem[lo:hi], own[k] - lo, space)
+        out[i + two] += logs
     return out / np.log(10)
 
 
@@ -302,16 +370,24 @@ def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
 
+def _split_all(texts: pa.ChunkedArray) -> pa.ChunkedArray:
+    return pa.chunked_array([split(x) for x in texts.chunks], pa.list_(pa.string()))
+
+
 def chunk_tokens(docs: DataFrame) -> DataFrame:
     """(chunk, token, c): the distinct tokens of each chunk with their counts in its training texts."""
 
     def count(table: pa.Table) -> pa.Table:
-        seen: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-        for t, out in zip(table.column("text"), table.column("held_out").to_pylist()):
-            (other if out else seen).update(tokens(t.as_py()))
-        names = [*seen, *(other - seen.keys())]
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(names), pa.int32()), "token": pa.array(names, pa.binary()), "c": pa.array([seen[x] for x in names], pa.int64())})
+        out = table.column("held_out")
+        seen = pc.list_flatten(_split_all(table.column("text").filter(pc.invert(out)))).value_counts()
+        names, c = seen.field("values"), seen.field("counts")
+        other = pc.list_flatten(_split_all(table.column("text").filter(out))).unique()
+        other = other.filter(pc.invert(pc.is_in(other, value_set=names)))
+        # an END closes each text
+        n = len(out) - pc.sum(out).as_py()
+        names = pa.concat_arrays([names.view(pa.binary()), other.view(pa.binary()), pa.array([END], pa.binary())])
+        c = pa.concat_arrays([c, pa.array([0] * len(other) + [n], pa.int64())])
+        return pa.table({"chunk": pa.repeat(table.column("chunk")[0].cast(pa.int32()), len(names)), "token": names, "c": c})
 
     return docs.groupBy("chunk").applyInArrow(count, "chunk int, token binary, c long")
 
@@ -398,38 +474,39 @@ def score_documents(docs: DataFrame) -> DataFrame:
         model, own_base = load()
         v, out = model.v, []
         count = dict(zip(right.column("token").to_pylist(), right.column("c").to_pylist()))
-        texts: list[list[bytes]] = []
+        names: list[bytes] = []
+        lengths: list[int] = []
         rows: list[tuple] = []
-        held = 0
 
         def flush() -> None:
-            nonlocal texts, rows, held
-            names, ids = numbered(texts)
             row, cls, member = v.look(names)
-            other = row >= v.own
-            c = np.zeros(len(names))
-            c[other] = [count.get(names[i], 0) for i in np.flatnonzero(other).tolist()]
-            base, inside, known = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), np.zeros(len(names)), other.copy()
-            base[~other], known[other] = own_base[row[~other]], c[other] > 0
-            known[~other] = True
+            other = np.flatnonzero(row >= v.own)
+            c = np.fromiter((count.get(names[i], 0) for i in other.tolist()), np.float64, len(other))
+            base, known = np.append(own_base, 0).take(np.minimum(row, v.own)), np.ones(len(names), np.int64)
+            base[other], known[other] = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), c > 0
             e = cls[other] - v.first
-            inside[other] = np.log10((c[other] + 0.1) / (v.rest[e, 0] + 0.1 * (v.rest[e, 1] + 1)))
-            lead = np.full(CONTEXT, -1)
-            k = np.concatenate([x for i in ids for x in (lead, i)])
-            real = k >= 0
-            at, starts = k[real], np.cumsum([0, *map(len, ids[:-1])])
-            logs = log10_scores(model, np.where(real, row[k], v.pad), np.where(real, cls[k], -1), np.where(real, member[k], -1))[real] + inside[at]
-            sums = [np.add.reduceat(x, starts).tolist() for x in (known[at].astype(np.int64), base[at], logs)]
-            out.extend((*r, len(i), n, total, b, s) for r, i, n, b, s in zip(rows, ids, *sums))
-            texts, rows, held = [], [], 0
+            inside = np.log10((c + 0.1) / (v.rest[e, 0] + 0.1 * (v.rest[e, 1] + 1)))
+            # texts lie behind each other, each after CONTEXT padding rows
+            at = np.arange(len(names)) + np.repeat(np.arange(1, len(rows) + 1) * CONTEXT, lengths)
+            wide = [np.full(len(names) + len(rows) * CONTEXT, x, np.int32) for x in (v.pad, -1, -1)]
+            for x, y in zip(wide, (row, cls, member)):
+                x[at] = y
+            logs = log10_scores(model, *wide)[at]
+            logs[other] += inside
+            starts = np.cumsum([0, *lengths[:-1]])
+            sums = [np.add.reduceat(x, starts).tolist() for x in (known, base, logs)]
+            out.extend((*r, i, n, total, b, s) for r, i, n, b, s in zip(rows, lengths, *sums))
+            for x in (names, lengths, rows):
+                x.clear()
 
         for doc, text, is_out in zip(left.column("doc_id").to_pylist(), left.column("text"), left.column("held_out").to_pylist()):
-            texts.append(tokens(text.as_py()))
+            words = tokens(text.as_py())
+            names += words
+            lengths.append(len(words))
             rows.append((doc, is_out))
-            held += len(texts[-1])
-            if held > 1 << 17:
+            if len(names) > 1 << 17:
                 flush()
-        if texts:
+        if rows:
             flush()
         types = [left.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 7, types)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
