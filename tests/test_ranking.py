@@ -214,3 +214,23 @@ def test_json_by_classes_is_a_row_a_file_and_exchanges_no_link(spark):
     assert "Aggregate" not in above and "Sort" not in above and "Repartition" not in above
     # media and their classes are not sent to all tasks, small as they are here
     assert report._by_class(groups, classes, between, media)[0]._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 0
+
+
+def test_links_are_made_by_stretches_that_repeat_where_written(spark, tmp_path, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    media = t.part_media(spark, d, True)
+    groups = media.select((F.col("media_id") % 3).alias("group_no"), "media_id")
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(report.class_links(groups, *t.part_classes(spark, d), media))
+    monkeypatch.setattr(report, "STRETCH", 16)
+    monkeypatch.setattr(report, "TASK_LINKS", 300)
+    assert report._tasks(groups)[2] > 1 and rows(report.class_links(groups, *t.part_classes(spark, d), media)) == whole
+    monkeypatch.undo()
+    # one large group: its links differ in subject, other and rank, and yet take less than a byte each
+    n = F.col("id")
+    large = spark.range(2000).select(n.alias("media_id"), F.concat(F.lit("/brand/"), n.cast("string")).alias("path"), (60 + n % 7 * 0.4).alias("duration"))
+    classes = large.select("media_id", F.lit(5).cast("long").alias("link_class"))
+    links = report.class_links(large.select(F.lit(1).cast("long").alias("group_no"), "media_id"), classes, t.part_classes(spark, d)[1], large)
+    links.drop("span").coalesce(1).write.parquet(f"{tmp_path}/links")
+    assert spark.read.parquet(f"{tmp_path}/links").count() == 2000 * 1999
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 2000 * 1999
