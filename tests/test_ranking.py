@@ -234,3 +234,28 @@ def test_links_are_made_by_stretches_that_repeat_where_written(spark, tmp_path,
     links.drop("span").coalesce(1).write.parquet(f"{tmp_path}/links")
     assert spark.read.parquet(f"{tmp_path}/links").count() == 2000 * 1999
     assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 2000 * 1999
+
+
+@pytest.mark.parametrize("among", ["all", "others"])
+def test_links_read_from_json_are_those_of_the_files(spark, monkeypatch, among):
+    d = "/root/testdata/sf0.001"
+    media = t.part_media(spark, d, True)
+    groups = media.select((F.col("media_id") % 3).alias("group_no"), "media_id").unionByName(media.where("media_id = 5").select(F.lit(9).cast("long").alias("group_no"), "media_id"))
+    members = groups.withColumn("pos", (F.col("media_id") / 3).cast("int")).join(ranking.with_figures(media), "media_id").cache()
+    classes, between = t.part_classes(spark, d)
+    between = between if among == "all" else between.where("subject_class <> other_class")
+    samples = spark.createDataFrame([(1,), (1,), (2,)], "media_id long")
+    detail = report.described(members, report.class_links(groups, classes, between, media), decide.fates(members), samples).cache()
+    link = "full_path string, matched_seconds double, matched_from string, matched_to string, matched_from_seconds double, matched_to_seconds double"
+    file = f"action string, samples long, {link}, matches array<struct<{link.replace(' ', ':').replace(',:', ',')}>>"
+    read = report.class_json_groups(detail, groups, classes, between, media).select("group", "pos", F.from_json("json", file).alias("f"))
+    cells = lambda f: [F.col(f"{f}.{c}") for c in ("full_path", "matched_from", "matched_to", "matched_from_seconds", "matched_to_seconds")]
+    want = read.select("group", "pos", "f", F.posexplode_outer("f.matches").alias("n", "l")).select("group", "pos", F.col("f").dropFields("matches"), "n", *cells("l"), "l.matched_seconds")
+    monkeypatch.setattr(report, "TASK_LINKS", 300)
+    made = report.class_json_links(detail, groups, classes, between, media, file, link)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    got = rows(made.select("group", "pos", F.col("f").dropFields("matches"), "n", *cells("l"), "link_seconds"))
+    assert got == rows(want) and len(got) > 10_000 and made.where("n IS NULL").count() == 1
+    # no link is written or read once for each file
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan[: plan.index("Join")].replace("link_seconds", "") and "Generate" not in plan[: plan.index("Join")]
